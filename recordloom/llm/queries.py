@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from recordloom.llm.bin_slack import op8_bin_slack
+from recordloom.llm.language_id import op6_language_id
 from recordloom.llm.piece_bpe import op4_piece_bpe
+from recordloom.llm.secret_scan import op2_secret_scan
 from recordloom.llm.simhash_dedup import op3_simhash_dedup
 from recordloom.llm.token_counts import op9_token_counts
+from recordloom.llm.toxicity import op7_toxicity
 
-QUERIES = {f.__name__: f for f in (op3_simhash_dedup, op4_piece_bpe, op8_bin_slack, op9_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_secret_scan, op3_simhash_dedup, op4_piece_bpe, op6_language_id, op7_toxicity, op8_bin_slack, op9_token_counts)}
 
 ORACLE_SQL: dict[str, str] = {}
