@@ -4,7 +4,7 @@ A text (A-Z in lower case) is a sequence of bytes and one end symbol, a byte a
 path of eight bits. For the contexts of the last one to five bytes, a hashed
 table holds how often each bit was 0 and 1 behind each context and path. A
 prediction mixes the log-odds of the five tables with weights that are chosen
-by a gate: how often the longer contexts were seen. Weights are learnt online,
+by a gate: how far the word has come, and how often the longer contexts were seen. Weights are learnt online,
 in small steps over the events of the corpus; of each event one occurrence is
 taken off the counts, so that the weights suit text not yet seen. Last, an
 adaptive map over the path so far and the mixed odds refines the probability.
@@ -41,7 +41,8 @@ _BASE = np.concatenate([[0], np.cumsum([1 << b for b in TABLE_BITS])])
 ORDERS = len(TABLE_BITS)
 #: Words whose counts are broadcast.
 HEAD = 1 << 18
-GATES = 5 * 5 * 3
+#: Bytes since the last separator (up to five), and how often the two longest contexts were seen.
+GATES = 6 * 5 * 5
 BINS, LIMIT = 33, 8.0
 STEP, BATCH = 0.05, 4096
 _CHUNK = 1 << 16
@@ -184,6 +185,15 @@ def bit_tables(events: DataFrame) -> np.ndarray:
     return out.reshape(-1, 2)
 
 
+def _since(codes: np.ndarray) -> np.ndarray:
+    """Bytes of the context behind its last separator."""
+    out, open_ = np.zeros(len(codes), dtype=np.int64), np.ones(len(codes), dtype=bool)
+    for k in range(1, ORDERS + 1):
+        open_ &= (codes >> np.uint64(8 * k) & np.uint64(255)) > 32
+        out += open_
+    return out
+
+
 def _level(total: np.ndarray) -> np.ndarray:
     return np.digitize(total, (0.5, 1.5, 3.5, 15.5))
 
@@ -202,7 +212,7 @@ class Mixer:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"codes": None, "values": None}
 
-    def inputs(self, slots: np.ndarray, bit: np.ndarray, taken: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    def inputs(self, slots: np.ndarray, bit: np.ndarray, since: np.ndarray, taken: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
         """Log-odds of the tables with a constant, and gates; `taken` occurrences of the bit are left out of the counts."""
         n = _COUNT[self.tables[slots]]
         if taken:
@@ -212,7 +222,7 @@ class Mixer:
         x[:ORDERS] = np.log((n[..., 1] + 0.4) / (n[..., 0] + 0.4))
         x[ORDERS] = 0.3
         total = n.sum(axis=2)
-        gate = (_level(total[4]) * 5 + _level(total[3])) * 3 + np.minimum(_level(total[2]), 4) // 2
+        gate = (since * 5 + _level(total[4])) * 5 + _level(total[3])
         return x, gate
 
     def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
@@ -233,12 +243,12 @@ class Mixer:
         """One online pass over events that occurred n times each."""
         power = np.full_like(self.weights, 1e-4)
         for at in range(0, len(codes), BATCH):
-            many = np.sqrt(n[at : at + BATCH])  # else a few events of huge counts make every step
-            many = many / many.mean()
+            many = n[at : at + BATCH]
+            since = _since(codes[at : at + BATCH])
             for _, bit, slots, _ in _slots(codes[at : at + BATCH]):
-                x, gate = self.inputs(slots, bit, 1.0)
+                x, gate = self.inputs(slots, bit, since, 1.0)
                 miss = many * (bit - 1 / (1 + np.exp(-self.mixed(x, gate))))
-                per = np.bincount(gate, weights=many, minlength=GATES)
+                per = np.bincount(gate, weights=many, minlength=GATES)  # steps are means over a gate's events, whatever their counts
                 g = np.stack([np.bincount(gate, weights=miss * x[i], minlength=GATES) for i in range(ORDERS + 1)], axis=1) / np.maximum(per, 1)[:, None]
                 power += g * g
                 self.weights += STEP * g / np.sqrt(power)
@@ -247,8 +257,9 @@ class Mixer:
         """Weighted ones and all bits of each cell of the map, over events that occurred n times each."""
         out = np.zeros((2, 256 * BINS))
         for at in range(0, len(codes), 1 << 16):
+            since = _since(codes[at : at + (1 << 16)])
             for _, bit, slots, path in _slots(codes[at : at + (1 << 16)]):
-                x, gate = self.inputs(slots, bit, 1.0)
+                x, gate = self.inputs(slots, bit, since, 1.0)
                 low, part = self.bins(self.mixed(x, gate))
                 cell, many = path * BINS + low, n[at : at + (1 << 16)]
                 for c, w in ((cell, many * (1 - part)), (cell + 1, many * part)):
@@ -260,9 +271,9 @@ class Mixer:
         """The log-probability of each event's byte."""
         out = np.empty(len(codes))
         for at in range(0, len(codes), 1 << 16):
-            total = 0.0
+            total, since = 0.0, _since(codes[at : at + (1 << 16)])
             for _, bit, slots, path in _slots(codes[at : at + (1 << 16)]):
-                p = self.refined(self.mixed(*self.inputs(slots, bit)), path)
+                p = self.refined(self.mixed(*self.inputs(slots, bit, since)), path)
                 total = total + np.log10(np.where(bit == 1, p, 1 - p))
             out[at : at + (1 << 16)] = total
         return out
