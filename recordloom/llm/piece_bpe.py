@@ -141,7 +141,12 @@ class PieceCodec:
 
     @staticmethod
     def split(text: str) -> list[str]:
-        return _UNITS.findall(" " + text.replace(SPACE, " ")) if text else []
+        if not text:
+            return []
+        text = " " + text.replace(SPACE, " ")
+        if "  " in text or "\0" in text:
+            return _UNITS.findall(text)
+        return [u for u in text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0") if u]  # the same, cheaper
 
     def encode(self, text: str) -> list[int]:
         return [i for u in self.split(text) for i in self.unit_ids(u)]
