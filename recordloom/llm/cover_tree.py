@@ -95,6 +95,12 @@ class Meeting:
             k = p[k]
         return k
 
+    def _roots(self, k: np.ndarray) -> np.ndarray:
+        k = self.parent[k]
+        while ((up := self.parent[k]) != k).any():
+            k = up
+        return k
+
     def _join(self, i: int, j: int) -> None:
         u, v = self._root(i), self._root(j + self.shift)
         if u != v:
@@ -120,8 +126,11 @@ class Meeting:
             self.links[0][i] += near @ self.size[1][n.points]
             if m is not n:
                 (self.links[0] if self.same else self.links[1])[n.points] += self.size[0][i] @ near
-            for p, q in zip(*np.nonzero(near)):
-                self._join(int(i[p]), int(n.points[q]))
+            own, other = self._roots(i), self._roots(n.points + self.shift)
+            p, q = np.nonzero(near & (own[:, None] != other[None, :]))
+            # one link of each two trees is enough
+            for k in np.unique(own[p] * len(self.parent) + other[q], return_index=True)[1]:
+                self._join(int(i[p[k]]), int(n.points[q[k]]))
 
     def visit(self, m: Node, n: Node) -> None:
         pending = [(m, n)]
