@@ -46,7 +46,12 @@ class Node:
     center: int
     radius: float
     children: list[Node] | None = field(default=None)
-    grid: tuple[np.ndarray, np.ndarray] | None = field(default=None)
+    grid: tuple[np.ndarray, np.ndarray, np.ndarray] | None = field(default=None)
+
+
+def _grid(nodes: list[Node]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Centres, radii, and which are single points."""
+    return np.array([c.center for c in nodes]), np.array([c.radius for c in nodes]), np.array([len(c.points) == 1 for c in nodes])
 
 
 class CoverTree:
@@ -71,7 +76,7 @@ class CoverTree:
                 node.children.append(self._node(left[inside], center))
                 left = left[~inside]
                 center = int(left[0]) if len(left) else -1
-            node.grid = np.array([c.center for c in node.children]), np.array([c.radius for c in node.children])
+            node.grid = _grid(node.children)
         return node.children
 
 
@@ -107,7 +112,7 @@ class Meeting:
             self.parent[max(u, v)] = min(u, v)
             self.edges.append((i, j))
 
-    def _count(self, i: np.ndarray, j: np.ndarray, ends: bool = True) -> None:
+    def _count(self, i: np.ndarray, j: np.ndarray) -> None:
         """Links of all points i with all points j."""
         self.links[0][i] += self.size[1][j].sum()
         (self.links[0] if self.same else self.links[1])[j] += self.size[0][i].sum()
@@ -116,6 +121,17 @@ class Meeting:
         for k in j[1:]:
             self._join(int(i[0]), int(k))
 
+    def _matrix(self, i: np.ndarray, j: np.ndarray, near: np.ndarray, itself: bool) -> None:
+        """Links of points i with points j where near; of a set with itself, if so."""
+        self.links[0][i] += near @ self.size[1][j]
+        if not itself:
+            (self.links[0] if self.same else self.links[1])[j] += self.size[0][i] @ near
+        own, other = self._roots(i), self._roots(j + self.shift)
+        p, q = np.nonzero(near & (own[:, None] != other[None, :]))
+        # one link of each two trees is enough
+        for k in np.unique(own[p] * len(self.parent) + other[q], return_index=True)[1]:
+            self._join(int(i[p[k]]), int(j[q[k]]))
+
     def _each(self, m: Node, n: Node) -> None:
         """Points one by one, in blocks of bounded size."""
         for at in range(0, len(m.points), 1024):
@@ -123,14 +139,7 @@ class Meeting:
             near = self.a.x[i] @ self.b.x[n.points].T >= self.threshold
             if m is n:
                 near &= i[:, None] != n.points[None, :]
-            self.links[0][i] += near @ self.size[1][n.points]
-            if m is not n:
-                (self.links[0] if self.same else self.links[1])[n.points] += self.size[0][i] @ near
-            own, other = self._roots(i), self._roots(n.points + self.shift)
-            p, q = np.nonzero(near & (own[:, None] != other[None, :]))
-            # one link of each two trees is enough
-            for k in np.unique(own[p] * len(self.parent) + other[q], return_index=True)[1]:
-                self._join(int(i[p[k]]), int(n.points[q[k]]))
+            self._matrix(i, n.points, near, m is n)
 
     def visit(self, m: Node, n: Node) -> None:
         pending = [(m, n)]
@@ -161,13 +170,20 @@ class Meeting:
             # the wider node is opened; a node with itself in both places
             left = self.a.children(m) if m is n or m.radius >= n.radius else [m]
             right = left if m is n else [n] if m.radius >= n.radius else self.b.children(n)
-            of = lambda node, nodes: node.grid if nodes is node.children else (np.array([node.center]), np.array([node.radius]))
-            (ci, ri), (cj, rj) = of(m, left), of(n, right)
+            of = lambda node, nodes: node.grid if nodes is node.children else _grid(nodes)
+            (ci, ri, one_i), (cj, rj, one_j) = of(m, left), of(n, right)
             for at in range(0, len(left), 1024):
-                cos = self.a.x[ci[at : at + 1024]] @ self.b.x[cj].T
-                reach = self.far + ri[at : at + 1024, None] + rj[None, :] + SLACK
+                part = slice(at, at + 1024)
+                cos = self.a.x[ci[part]] @ self.b.x[cj].T
+                points = one_i[part, None] & one_j[None, :]
+                link = points & (cos >= self.threshold)
+                if m is n:
+                    link &= ci[part, None] != cj[None, :]
+                if link.any():
+                    self._matrix(ci[part], cj, link, m is n)
+                reach = self.far + ri[part, None] + rj[None, :] + SLACK
                 # cos and distance: d^2 = 2 - 2 cos; rounding of cos near 1 is covered by the slack
-                near = np.sqrt(np.maximum(2 - 2 * cos, 0)) <= reach + 1e-7
+                near = ~points & (np.sqrt(np.maximum(2 - 2 * cos, 0)) <= reach)
                 for p, q in zip(*np.nonzero(near)):
                     if m is not n or p + at <= q:
                         pending.append((left[p + at], right[q]))
