@@ -16,8 +16,8 @@ doesn't grow with the corpus. A text's score depends on the text and the
 model only: events repeat, so their scores are kept in a table of fixed size.
 
 The base score is a unigram model over words with one added to each count.
-Counts of the HEAD most frequent words are broadcast; the other words of each
-text meet theirs in a join, and none of them is frequent.
+Counts of the most frequent words, HEAD at most, are broadcast; the other words
+of each text meet theirs in a join, and none of them is frequent.
 
 Null texts count as empty: the end symbol alone. A null doc_id counts as the
 empty text in the split. With no training text every bit is even odds.
@@ -39,8 +39,8 @@ from recordloom.llm.common import cut, remainder, small_batches, table
 TABLE_BITS = (16, 19, 20, 21, 22)
 _BASE = np.concatenate([[0], np.cumsum([1 << b for b in TABLE_BITS])])
 ORDERS = len(TABLE_BITS)
-#: Words whose counts are broadcast.
-HEAD = 1 << 18
+#: Words whose counts are broadcast at most: those of a count or more.
+HEAD = 1 << 17
 #: Bytes since the last separator (up to five), and how often the two longest contexts were seen.
 GATES = 6 * 5 * 5
 BINS, LIMIT = 33, 8.0
@@ -332,13 +332,29 @@ def train(events: DataFrame) -> Mixer:
     if found:
         mixer.weights = np.average([r["w"] for r in found], axis=0, weights=[r["n"] for r in found]).reshape(mixer.weights.shape)
     learnt = spark.sparkContext.broadcast(mixer)
-    for r in events.mapInPandas(cells, "cell int, ones double, n double").groupBy("cell").agg(F.sum("ones").alias("ones"), F.sum("n").alias("n")).collect():
+    counted = events.mapInPandas(cells, "cell int, ones double, n double").groupBy("cell").agg(F.sum("ones").alias("ones"), F.sum("n").alias("n")).collect()
+    shared.destroy()
+    learnt.destroy()
+    for r in counted:
         path, low = divmod(r["cell"], BINS)
         mixer.map[path, low] = (r["ones"] + 20 * mixer.map[path, low]) / (r["n"] + 20)
     mixer.map = np.clip(mixer.map, 1e-5, 1 - 1e-5)
     return mixer
 
 
+def _head_count(words: DataFrame) -> int:
+    """The least count that HEAD words at most have or exceed."""
+    many = 1_000_000
+    by_count = words.groupBy(F.least("c", F.lit(many)).alias("c")).agg(F.count("*").alias("n")).orderBy(F.desc("c")).collect()
+    least, total = many + 1, 0
+    for r in by_count:
+        total += r["n"]
+        if total > HEAD:
+            break
+        least = r["c"]
+    return least
+
+
 def score_texts(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Scores of every text of docs under what training says.
 
@@ -351,7 +367,7 @@ def score_texts(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", te
     events = cut(counts.where("code is not null").groupBy("code").agg(F.sum("n").alias("n")), "events")
     n_all, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     ends = (words.where("word = ''").first() or {"c": 0})["c"]
-    top = words.where("word <> ''").orderBy(F.desc("c"), "word").limit(HEAD).toPandas()
+    top = words.where((F.col("word") != "") & (F.col("c") >= _head_count(words))).toPandas()
     mixer = train(events)
     small_batches(spark)
     head = {w.encode("utf-8"): x for w, x in zip(top["word"], np.log10(top["c"].to_numpy(np.float64) + 1))}
@@ -378,6 +394,7 @@ def score_texts(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", te
 
     scored = docs.select(F.col(id_col).alias("doc_id"), *keep, F.monotonically_increasing_id().alias("row"), of(F.coalesce(F.col(text_col), F.lit(""))).alias("r"))
     scored = cut(scored.select("doc_id", *keep, "row", "r.*"), "scored")
+    shared.destroy()
     rare = scored.select("row", F.explode(F.arrays_zip("tail", "tail_n")).alias("t")).select("row", F.col("t.tail").alias("word"), F.col("t.tail_n").alias("k"))
     met = rare.join(words, "word").groupBy("row").agg(F.sum("k").alias("n_tail"), F.sum(F.col("k") * F.log10(F.col("c") + 1)).alias("tail_log"))
     n_tokens = F.col("n_words") + 1
