@@ -39,7 +39,7 @@ from recordloom.llm.common import cut, remainder, small_batches, table
 TABLE_BITS = (16, 19, 20, 21, 22)
 _BASE = np.concatenate([[0], np.cumsum([1 << b for b in TABLE_BITS])])
 ORDERS = len(TABLE_BITS)
-#: Words whose counts are broadcast at most: those of a count or more.
+#: Words whose counts are broadcast at most.
 HEAD = 1 << 17
 #: Bytes since the last separator (up to five), and how often the two longest contexts were seen.
 GATES = 6 * 5 * 5
@@ -342,17 +342,17 @@ def train(events: DataFrame) -> Mixer:
     return mixer
 
 
-def _head_count(words: DataFrame) -> int:
-    """The least count that HEAD words at most have or exceed."""
-    many = 1_000_000
-    by_count = words.groupBy(F.least("c", F.lit(many)).alias("c")).agg(F.count("*").alias("n")).orderBy(F.desc("c")).collect()
-    least, total = many + 1, 0
-    for r in by_count:
+def _head(words: DataFrame) -> DataFrame:
+    """The words of the greatest counts, HEAD at most; words of nearly one count are in or out together."""
+    level = F.floor(F.log2("c") * 1024)  # some ten thousand levels at most
+    ranked = words.where(F.col("word") != "").withColumn("level", level)
+    least, total = None, 0
+    for r in ranked.groupBy("level").agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect():
         total += r["n"]
         if total > HEAD:
             break
-        least = r["c"]
-    return least
+        least = r["level"]
+    return ranked.where(F.col("level") >= least if least is not None else F.lit(False)).select("word", "c")
 
 
 def score_texts(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -367,7 +367,7 @@ def score_texts(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", te
     events = cut(counts.where("code is not null").groupBy("code").agg(F.sum("n").alias("n")), "events")
     n_all, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     ends = (words.where("word = ''").first() or {"c": 0})["c"]
-    top = words.where((F.col("word") != "") & (F.col("c") >= _head_count(words))).toPandas()
+    top = _head(words).toPandas()
     mixer = train(events)
     small_batches(spark)
     head = {w.encode("utf-8"): x for w, x in zip(top["word"], np.log10(top["c"].to_numpy(np.float64) + 1))}
