@@ -4,6 +4,9 @@ import corpus_pipeline
 
 from recordloom.llm.common import cut
 
+#: In the manner of the tables' English.
+PROSE = "Is and retitioning the of, by this and with ineaer therean the. Ores the that the, and hath of ering onheed, with the erenst thaner ing tionha and, the by this rely onnting."
+
 
 def test_stages(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -23,3 +26,15 @@ def test_registered():
     import __spark_entry__
 
     assert "pipeline" in __spark_entry__.queries() and len([n for n in __spark_entry__.queries() if n.startswith("op")]) == 10
+
+
+def test_clashing_columns_and_nulls(spark, sf_dir):
+    rows = [(1, PROSE[:120], "en", "a", 1, 1, 2, 3), (None, None, None, None, None, None, None, None), (2, "token: abcdefghijklmnop " + PROSE, "en", "b", 5, 1, 2, 3), (3, "", "en", "b", 0, 1, 2, 3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, language int, blob int, spans int")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, sf_dir)
+        assert got.dtypes == docs.dtypes
+        kept = {r["doc_id"]: r for r in got.collect()}
+        assert 1 in kept and 2 in kept and kept[1]["blob"] == 2
+        if name == "secret_scan":
+            assert kept[2]["text"] == "[secret] " + PROSE and kept[2]["n_chars"] == len(kept[2]["text"]) and kept[None]["text"] is None
