@@ -18,24 +18,31 @@ from recordloom.llm.common import cut, remainder, small_batches, table
 BROADCAST_IDS = 1_000_000
 
 
+def _unused(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't have yet."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that language identification rejects go; the others get the predicted language."""
     source = table(spark, sf_dir, "documents")
     model = language_id.train(source.where(remainder(F.col("doc_id"), 3) != 1))
-    found = docs.withColumn("found_", language_id.predicted(F.col("text"), model))
-    return found.where("not found_.rejected").withColumn("lang", F.col("found_.lang_pred")).select(docs.columns)
+    own = _unused(docs, "language")
+    found = docs.withColumn(own, language_id.predicted(F.col("text"), model)).where(~F.col(own)["rejected"])
+    return found.withColumn("lang", F.col(own)["lang_pred"]).select(docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are predicted toxic go."""
     source, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.train(source, labels.where(remainder(F.col("doc_id"), 5) != 0))
-    found = docs.withColumn("found_", toxicity.scored(F.col("text"), model))
-    return found.where("found_.predicted = 0").select(docs.columns)
+    return docs.where(toxicity.scored(F.col("text"), model)["predicted"] == 0)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of the smallest id stays."""
+    """Of each group of near-duplicates the document of the smallest id stays; rows of one id go or stay together, those without an id stay."""
     small_batches(spark)
     found = simhash_dedup.near_duplicates(docs)
     gone = cut(found.where("doc_id <> component_id").select("doc_id").distinct(), "near-duplicates")
@@ -46,13 +53,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in the texts are masked; no document goes."""
     found = secret_scan.scan_history(docs, secret_scan.new_ledger(spark))
-    spans = cut(found.where("spans <> ''").select(F.col("blob").alias("blob_"), F.col("spans").alias("spans_")).distinct(), "secrets")
+    blob, own = _unused(docs, "blob"), _unused(docs, "spans")
+    spans = cut(found.where("spans <> ''").select(F.col("blob").alias(blob), F.col("spans").alias(own)).distinct(), "secrets")
     few = spans.limit(secret_scan.BROADCAST_ROWS + 1).count() <= secret_scan.BROADCAST_ROWS
-    met = docs.join(F.broadcast(spans) if few else spans, F.sha2("text", 256) == F.col("blob_"), "left")
-    text = F.when(F.col("spans_").isNull(), F.col("text")).otherwise(secret_scan.redacted(F.col("text"), F.col("spans_")))
+    met = docs.join(F.broadcast(spans) if few else spans, F.sha2("text", 256) == F.col(blob), "left")
+    text = F.when(F.col(own).isNull(), F.col("text")).otherwise(secret_scan.redacted(F.col("text"), F.col(own)))
     met = met.withColumn("text", text)
     if "n_chars" in docs.columns:
-        met = met.withColumn("n_chars", F.when(F.col("spans_").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("bigint")))
+        met = met.withColumn("n_chars", F.when(F.col(own).isNull(), F.col("n_chars")).otherwise(F.length("text").cast("bigint")))
     return met.select(docs.columns)
 
 
