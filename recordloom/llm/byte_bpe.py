@@ -48,7 +48,7 @@ class ByteCodec:
 
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True
-        self.runs = Memo(self._encoder(path), 500_000)
+        self.runs = Memo(self._encoder(path), 300_000)
 
     def _encoder(self, path: str):
         import tiktoken

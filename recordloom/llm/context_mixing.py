@@ -124,7 +124,7 @@ def corpus_counts(docs: DataFrame, text_col: str) -> DataFrame:
                 parts.append(np.unique(codes, return_counts=True))
                 if len(parts) > 8:
                     parts[:] = [merged()]
-            if len(words) > 1_000_000 or sum(len(p[0]) for p in parts) > 4_000_000:
+            if len(words) > 400_000 or sum(len(p[0]) for p in parts) > 2_000_000:
                 yield from out()
         yield from out()
 

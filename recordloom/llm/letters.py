@@ -38,7 +38,7 @@ def letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return folded[keep], kept
 
 
-def slices(texts: list[str], size: int = 1 << 20) -> list[tuple[np.ndarray, list[str]]]:
+def slices(texts: list[str], size: int = 1 << 19) -> list[tuple[np.ndarray, list[str]]]:
     """The texts in groups of about `size` code points at most: (owner of each piece, pieces).
 
     What is longer alone comes in several pieces, each a text of its own to what follows, so that memory stays bounded.

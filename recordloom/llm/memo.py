@@ -8,7 +8,7 @@ from collections.abc import Callable
 class Memo(dict):
     """Maps a key to make(key). At most 2 * limit entries stay: those used since the last turn, and the turn before."""
 
-    def __init__(self, make: Callable, limit: int = 400_000):
+    def __init__(self, make: Callable, limit: int = 250_000):
         super().__init__()
         self.make, self.limit, self.old = make, limit, {}
 

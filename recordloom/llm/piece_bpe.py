@@ -66,7 +66,7 @@ class PieceCodec:
                 self.automaton.add_word(t, (k, len(t)))
         self.automaton.make_automaton()
         self.alphabet = {c for t in self.tokens for c in t}
-        self.fits = Memo(self._fits, 500_000)
+        self.fits = Memo(self._fits, 150_000)
         self.odd: dict[str, str] = {}
         self.units = Memo(self._unit)
 

@@ -39,7 +39,7 @@ PENALTY = 1.0
 
 def hits(texts: list[str], wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(text number, feature) of each text's distinct n-grams; wanted maps hashes to features, or to -1."""
-    rows, cols = [], []
+    parts = []
     for owners, pieces in slices(texts):
         chars, sizes = letters(pieces)
         owner = np.repeat(np.arange(len(pieces), dtype=np.int32), sizes)
@@ -53,16 +53,13 @@ def hits(texts: list[str], wanted: np.ndarray | None = None) -> tuple[np.ndarray
             slot = ((h ^ h >> np.uint32(15)) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - HASH_BITS)
             whole = owner[: len(h)] == owner[k:]
             if wanted is None:
-                rows.append(owners[owner[: len(h)][whole]])
-                cols.append(slot[whole].astype(np.int64))
+                pairs = owners[owner[: len(h)][whole]].astype(np.int64) << 32 | slot[whole]
             else:
                 found = wanted[slot]
                 at = np.flatnonzero((found >= 0) & whole)
-                rows.append(owners[owner[at]])
-                cols.append(found[at].astype(np.int64))
-    if not rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    pairs = np.unique(np.concatenate(rows).astype(np.int64) << 32 | np.concatenate(cols))
+                pairs = owners[owner[at]].astype(np.int64) << 32 | found[at].astype(np.int64)
+            parts.append(np.unique(pairs))
+    pairs = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.int64)
     return pairs >> 32, pairs & 0xFFFFFFFF
 
 
