@@ -1,19 +1,22 @@
 """Language-model scoring by online logistic context mixing.
 
 A text (A-Z in lower case) is a sequence of bytes and one end symbol, a byte a
-path of eight bits. For the contexts of the last one to five bytes, a hashed
-table holds how often each bit was 0 and 1 behind each context and path. A
-prediction mixes the log-odds of the five tables with weights that are chosen
+path of eight bits. For the contexts of the last one to five bytes, it is
+counted how often each bit was 0 and 1 behind each context and path. A
+prediction mixes the log-odds of the five orders with weights that are chosen
 by a gate: how far the word has come, and how often the longer contexts were seen. Weights are learnt online,
 in small steps over the events of the corpus; of each event one occurrence is
 taken off the counts, so that the weights suit text not yet seen. Last, an
 adaptive map over the path so far and the mixed odds refines the probability.
 
 An event is a byte with the five before it. What the corpus says is the count
-of each event, over all training text; tables, weights and map are all made
-of these counts. Tables have a fixed number of slots, so what is broadcast
-doesn't grow with the corpus. A text's score depends on the text and the
-model only: events repeat, so their scores are kept in a table of fixed size.
+of each event, over all training text; bit counts, weights and map are all
+made of these counts. Bit counts are exact and of every context, however many
+there are: events with the same last three bytes lie in one partition, where
+all counts of the longer contexts come from, and those of the last one and two
+bytes, 2^24 at most, are broadcast. A text's score depends on the text and the
+model only. Scores of the most frequent events, EVENT_HEAD at most, are
+broadcast; the other events of each text meet theirs in a join.
 
 The base score is a unigram model over words with one added to each count.
 Counts of the most frequent words, HEAD at most, are broadcast; the other words
@@ -35,18 +38,22 @@ from pyspark.sql import functions as F
 
 from recordloom.llm.common import cut, remainder, small_batches, table
 
-#: Bits of each order's table of contexts and paths.
+#: Bits of each order's table of contexts and paths, where counts are hashed (HashedNodes).
 TABLE_BITS = (16, 19, 20, 21, 22)
 _BASE = np.concatenate([[0], np.cumsum([1 << b for b in TABLE_BITS])])
 ORDERS = len(TABLE_BITS)
 #: Words whose counts are broadcast at most.
 HEAD = 1 << 17
+#: Events whose scores are broadcast at most.
+EVENT_HEAD = 1 << 18
+#: Bytes of a context whose counts are broadcast; one more and the counts stay in their partition.
+SHORT = 2
 #: Bytes since the last separator (up to five), and how often the two longest contexts were seen.
 GATES = 6 * 5 * 5
 BINS, LIMIT = 33, 8.0
 STEP, BATCH = 0.05, 4096
-_CHUNK = 1 << 16
-_SLOTS = 22
+_CHUNK = 1 << 17
+_SLOTS = 21
 #: Bytes that are looked at together.
 _BLOCK = 1 << 21
 
@@ -157,32 +164,90 @@ _COUNT = 2.0 ** (np.arange(256) / 8) - 1
 _COUNT[:9] = np.rint(_COUNT[:9])
 
 
-def bit_tables(events: DataFrame) -> np.ndarray:
-    """The tables: rows of how often each slot's bit was 0 and 1, on a logarithmic scale of bytes."""
+class HashedNodes:
+    """Counts of nodes in tables of fixed size, where different nodes may share a slot: for small texts only."""
 
-    def nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            codes, n = b["code"].to_numpy(np.int64).view(np.uint64), b["n"].to_numpy(np.float64)
-            keys = np.concatenate([(slots << 1 | bit).ravel() for _, bit, slots, _ in _slots(codes)])
-            found, place = np.unique(keys, return_inverse=True)
-            yield pd.DataFrame({"key": found, "n": np.bincount(place, weights=np.tile(n, 8 * ORDERS)).astype(np.int64)})
-
-    def dense(part: pd.DataFrame) -> pd.DataFrame:
-        out = np.zeros(2 * _CHUNK)
-        chunk = int(part["key"].iloc[0]) // (2 * _CHUNK)
-        out[part["key"].to_numpy() - chunk * 2 * _CHUNK] = part["n"]
-        return pd.DataFrame({"chunk": [chunk], "counts": [_packed(out).tobytes()]})
-
-    # events of the same last two bytes go together, and so do the slots of all orders but the first
-    near = events.repartition(F.shiftright("code", 8).bitwiseAND(F.lit(0xFFFF)))
-    spark = events.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100000")
-    sums = near.mapInPandas(nodes, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-    chunks = sums.groupBy(F.floor(F.col("key") / (2 * _CHUNK)).alias("c")).applyInPandas(dense, "chunk bigint, counts binary").collect()
-    out = np.zeros((int(_BASE[-1]) // _CHUNK + 1) * 2 * _CHUNK, dtype=np.uint8)
-    for r in chunks:
-        out[r["chunk"] * 2 * _CHUNK : (r["chunk"] + 1) * 2 * _CHUNK] = np.frombuffer(r["counts"], np.uint8)
-    return out.reshape(-1, 2)
+    def __init__(self, tables: np.ndarray):
+        self.tables = tables
+
+    def bits(self, codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for _, bit, slots, path in _slots(codes):
+            yield bit, path, _COUNT[self.tables[slots]]
+
+
+class Counts:
+    """Sorted keys, each a context with its byte, and the sums of their counts."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray):
+        self.keys, place = np.unique(keys, return_inverse=True)
+        self.sums = np.concatenate([[0.0], np.cumsum(np.bincount(place, weights=n, minlength=len(self.keys)))])
+
+    def totals(self, keys: np.ndarray) -> np.ndarray:
+        """Rows of how often the context of each key was met with the first 0 to 8 bits of its byte."""
+        own, place = np.unique(keys, return_inverse=True)
+        out = np.empty((9, len(own)))
+        for j in range(9):
+            low = own >> np.uint64(8 - j) << np.uint64(8 - j)
+            out[j] = self.sums[np.searchsorted(self.keys, low + np.uint64(1 << 8 - j))] - self.sums[np.searchsorted(self.keys, low)]
+        return out[:, place]
+
+
+def _key(codes: np.ndarray, order: int) -> np.ndarray:
+    return codes & np.uint64((1 << 8 * (order + 1)) - 1)
+
+
+class Nodes:
+    """Exact counts of nodes: those of short contexts, and of the longer ones those that codes and n hold."""
+
+    def __init__(self, short: list[Counts], codes: np.ndarray, n: np.ndarray):
+        self.orders = short + [Counts(_key(codes, k), n) for k in range(len(short) + 1, ORDERS + 1)]
+
+    def bits(self, codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(the bit of each event, path before the bit, counts of 0 and 1 by order), for the eight bits of the events' bytes."""
+        totals = np.stack([c.totals(_key(codes, k + 1)) for k, c in enumerate(self.orders)])
+        byte = (codes & np.uint64(255)).astype(np.int64)
+        path = np.ones(len(codes), dtype=np.int64)
+        for j in range(8):
+            bit = byte >> (7 - j) & 1
+            own, other = totals[:, j + 1], totals[:, j] - totals[:, j + 1]
+            yield bit, path, np.stack([np.where(bit == 1, other, own), np.where(bit == 1, own, other)], axis=2)
+            path = path * 2 + bit
+
+
+def short_counts(events: DataFrame) -> list[Counts]:
+    """Counts of the contexts of up to SHORT bytes; of those there are at most 2^24 with a byte."""
+    last = events.groupBy(F.col("code").bitwiseAND(F.lit((1 << 8 * (SHORT + 1)) - 1)).alias("key")).agg(F.sum("n").alias("n")).toPandas()
+    keys, n = last["key"].to_numpy(np.int64).view(np.uint64), last["n"].to_numpy(np.float64)
+    return [Counts(_key(keys, k), n) for k in range(1, SHORT + 1)]
+
+
+def _by_context(rows: DataFrame) -> DataFrame:
+    """Rows with all of the counts that their longer contexts need in one partition, one behind another, and contexts in no order."""
+    near = F.shiftright("code", 8).bitwiseAND(F.lit((1 << 8 * (SHORT + 1)) - 1))
+    return rows.repartition(near).sortWithinPartitions(F.xxhash64(near), near)
+
+
+def _whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches of _by_context() joined and cut where a context ends."""
+    held, total, last = [], 0, None
+    for b in batches:
+        if not len(b):
+            continue
+        near = b["code"].to_numpy(np.int64) >> 8 & (1 << 8 * (SHORT + 1)) - 1
+        starts = np.flatnonzero(near != np.concatenate([near[:1] if last is None else [last], near[:-1]]))
+        last = near[-1]
+        if total + len(b) >= _CHUNK and len(starts):
+            yield pd.concat([*held, b[: starts[-1]]])
+            held, total = [], 0
+            b = b[starts[-1] :]
+        held.append(b)
+        total += len(b)
+    if held:
+        yield pd.concat(held)
+
+
+def _arrays(b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    return b["code"].to_numpy(np.int64).view(np.uint64), b["n"].to_numpy(np.float64)
 
 
 def _since(codes: np.ndarray) -> np.ndarray:
@@ -199,26 +264,27 @@ def _level(total: np.ndarray) -> np.ndarray:
 
 
 class Mixer:
-    """Predicts bits from the tables; weights by gate, and the map that refines the mixed probability."""
+    """Predicts bits from the counts; weights by gate, and the map that refines the mixed probability."""
 
-    def __init__(self, tables: np.ndarray):
-        self.tables = tables
+    def __init__(self, nodes: np.ndarray | Nodes | None = None):
+        self.nodes = HashedNodes(nodes) if isinstance(nodes, np.ndarray) else nodes
         self.weights = np.zeros((GATES, ORDERS + 1))
         self.weights[:, :ORDERS] = 1 / ORDERS
         centers = 1 / (1 + np.exp(-np.linspace(-LIMIT, LIMIT, BINS)))
         self.map = np.tile(centers, (256, 1))
-        self.codes = self.values = None
 
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"codes": None, "values": None}
+    def at(self, nodes: Nodes) -> Mixer:
+        """This mixer over other counts."""
+        out = Mixer(nodes)
+        out.weights, out.map = self.weights, self.map
+        return out
 
-    def inputs(self, slots: np.ndarray, bit: np.ndarray, since: np.ndarray, taken: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-        """Log-odds of the tables with a constant, and gates; `taken` occurrences of the bit are left out of the counts."""
-        n = _COUNT[self.tables[slots]]
+    def inputs(self, n: np.ndarray, bit: np.ndarray, since: np.ndarray, taken: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """Log-odds of the orders with a constant, and gates; `taken` occurrences of the bit are left out of the counts n."""
         if taken:
             n[..., 0] = np.maximum(n[..., 0] - taken * (1 - bit), 0)
             n[..., 1] = np.maximum(n[..., 1] - taken * bit, 0)
-        x = np.empty((ORDERS + 1, slots.shape[1]))
+        x = np.empty((ORDERS + 1, n.shape[1]))
         x[:ORDERS] = np.log((n[..., 1] + 0.4) / (n[..., 0] + 0.4))
         x[ORDERS] = 0.3
         total = n.sum(axis=2)
@@ -245,8 +311,8 @@ class Mixer:
         for at in range(0, len(codes), BATCH):
             many = n[at : at + BATCH]
             since = _since(codes[at : at + BATCH])
-            for _, bit, slots, _ in _slots(codes[at : at + BATCH]):
-                x, gate = self.inputs(slots, bit, since, 1.0)
+            for bit, _, counts in self.nodes.bits(codes[at : at + BATCH]):
+                x, gate = self.inputs(counts, bit, since, 1.0)
                 miss = many * (bit - 1 / (1 + np.exp(-self.mixed(x, gate))))
                 per = np.bincount(gate, weights=many, minlength=GATES)  # steps are means over a gate's events, whatever their counts
                 g = np.stack([np.bincount(gate, weights=miss * x[i], minlength=GATES) for i in range(ORDERS + 1)], axis=1) / np.maximum(per, 1)[:, None]
@@ -258,8 +324,8 @@ class Mixer:
         out = np.zeros((2, 256 * BINS))
         for at in range(0, len(codes), 1 << 16):
             since = _since(codes[at : at + (1 << 16)])
-            for _, bit, slots, path in _slots(codes[at : at + (1 << 16)]):
-                x, gate = self.inputs(slots, bit, since, 1.0)
+            for bit, path, counts in self.nodes.bits(codes[at : at + (1 << 16)]):
+                x, gate = self.inputs(counts, bit, since, 1.0)
                 low, part = self.bins(self.mixed(x, gate))
                 cell, many = path * BINS + low, n[at : at + (1 << 16)]
                 for c, w in ((cell, many * (1 - part)), (cell + 1, many * part)):
@@ -272,49 +338,79 @@ class Mixer:
         out = np.empty(len(codes))
         for at in range(0, len(codes), 1 << 16):
             total, since = 0.0, _since(codes[at : at + (1 << 16)])
-            for _, bit, slots, path in _slots(codes[at : at + (1 << 16)]):
-                p = self.refined(self.mixed(*self.inputs(slots, bit, since)), path)
+            for bit, path, counts in self.nodes.bits(codes[at : at + (1 << 16)]):
+                p = self.refined(self.mixed(*self.inputs(counts, bit, since)), path)
                 total = total + np.log10(np.where(bit == 1, p, 1 - p))
             out[at : at + (1 << 16)] = total
         return out
 
-    def kept(self, codes: np.ndarray) -> np.ndarray:
-        """log10(), with the scores of events met before kept in a table of fixed size."""
-        if self.codes is None:
-            self.codes = np.full(1 << _SLOTS, ~np.uint64(0), dtype=np.uint64)
-            self.values = np.zeros(1 << _SLOTS)
-        at = (codes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _SLOTS)).view(np.int64)
-        out = self.values[at]
-        if (lost := np.flatnonzero(self.codes[at] != codes)).size:
-            new, place = np.unique(codes[lost], return_inverse=True)
-            scores = self.log10(new)
-            out[lost] = scores[place]
-            # of several events for one slot the last written stays, the same in both tables
-            slot, last = np.unique((new * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _SLOTS)).view(np.int64)[::-1], return_index=True)
-            self.codes[slot], self.values[slot] = new[::-1][last], scores[::-1][last]
-        return out
-
     def scores(self, data: list[bytes]) -> np.ndarray:
         out = np.zeros(len(data))
         for owners, codes, sizes in _blocks(data):
-            np.add.at(out, owners, np.add.reduceat(self.kept(codes), np.cumsum(sizes) - sizes))
+            own, place = np.unique(codes, return_inverse=True)
+            np.add.at(out, owners, np.add.reduceat(self.log10(own)[place], np.cumsum(sizes) - sizes))
         return out
 
 
-def train(events: DataFrame) -> Mixer:
-    """The mixer of (code, n). Each partition learns weights online over its events; they are averaged by events."""
-    spark = events.sparkSession
-    mixer = Mixer(bit_tables(events))
-    shared = spark.sparkContext.broadcast(mixer)
+class Known:
+    """Scores of the most frequent events."""
+
+    def __init__(self, codes: np.ndarray, values: np.ndarray):
+        by = np.argsort(codes)
+        self.codes, self.values, self.slots = codes[by], values[by], None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"slots": None}
 
-    def gathered(batches: Iterator[pd.DataFrame]) -> tuple[np.ndarray, np.ndarray]:
-        rows = [(b["code"].to_numpy(np.int64).view(np.uint64), b["n"].to_numpy(np.float64)) for b in batches]
-        return (np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])) if rows else (np.zeros(0, np.uint64), np.zeros(0))
+    @staticmethod
+    def slot(codes: np.ndarray) -> np.ndarray:
+        return (codes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _SLOTS)).view(np.int64)
+
+    def find(self, codes: np.ndarray) -> np.ndarray:
+        """The place of each code, -1 for those not known; a slot names one code, the others of it are searched for."""
+        if not len(self.codes):
+            return np.full(len(codes), -1)
+        if self.slots is None:
+            self.slots = np.zeros(1 << _SLOTS, dtype=np.int32)
+            self.slots[self.slot(self.codes)] = np.arange(len(self.codes), dtype=np.int32)
+        at = self.slots[self.slot(codes)]
+        if (lost := np.flatnonzero(self.codes[at] != codes)).size:
+            new, place = np.unique(codes[lost], return_inverse=True)
+            found = np.minimum(np.searchsorted(self.codes, new), len(self.codes) - 1)
+            at[lost] = np.where(self.codes[found] == new, found, -1)[place]
+        return at
+
+    def scores(self, data: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        """Sums over the known events of each text; its other events and how often it has them."""
+        out = np.zeros(len(data))
+        rest: list[list[np.ndarray]] = [[] for _ in data]
+        for owners, codes, sizes in _blocks(data):
+            at = self.find(codes)
+            starts, known = np.cumsum(sizes) - sizes, at >= 0
+            if len(self.codes):
+                np.add.at(out, owners, np.add.reduceat(np.where(known, self.values[at], 0.0), starts))
+            lost = np.flatnonzero(~known)
+            owner = np.searchsorted(starts, lost, side="right") - 1
+            bounds = np.searchsorted(owner, np.arange(len(owners) + 1))
+            for k, text in enumerate(owners):
+                if bounds[k] < bounds[k + 1]:
+                    rest[text].append(codes[lost[bounds[k] : bounds[k + 1]]])
+        pairs = [np.unique(np.concatenate(r), return_counts=True) if r else (np.zeros(0, np.uint64), np.zeros(0, np.int64)) for r in rest]
+        return out, [p[0].view(np.int64) for p in pairs], [p[1] for p in pairs]
+
+
+def train(events: DataFrame) -> tuple[Mixer, list[Counts]]:
+    """The mixer of (code, n), and the counts of short contexts. Each partition learns weights online over its events; they are averaged by events."""
+    spark = events.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100000")
+    short, mixer = short_counts(events), Mixer()
+    shared = spark.sparkContext.broadcast(short)  # at most 2^24 counts
 
     def weights(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, events_seen = Mixer(shared.value.tables), 0
-        for b in batches:
-            codes, n = b["code"].to_numpy(np.int64).view(np.uint64), b["n"].to_numpy(np.float64)
+        own, events_seen = Mixer(), 0
+        for b in _whole(batches):
+            codes, n = _arrays(b)
+            own.nodes = Nodes(shared.value, codes, n)
             by = np.argsort(codes * np.uint64(0x9E3779B97F4A7C15), kind="stable")
             own.learn(codes[by], n[by])
             events_seen += len(codes)
@@ -323,36 +419,61 @@ def train(events: DataFrame) -> Mixer:
 
     def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((2, 256 * BINS))
-        for b in batches:
-            total += learnt.value.map_counts(b["code"].to_numpy(np.int64).view(np.uint64), b["n"].to_numpy(np.float64))
+        for b in _whole(batches):
+            codes, n = _arrays(b)
+            total += learnt.value.at(Nodes(shared.value, codes, n)).map_counts(codes, n)
         some = np.flatnonzero(total[1])
         yield pd.DataFrame({"cell": some, "ones": total[0, some], "n": total[1, some]})
 
-    found = events.mapInPandas(weights, "w array<double>, n double").collect()
+    near = _by_context(events)
+    found = near.mapInPandas(weights, "w array<double>, n double").collect()
     if found:
         mixer.weights = np.average([r["w"] for r in found], axis=0, weights=[r["n"] for r in found]).reshape(mixer.weights.shape)
     learnt = spark.sparkContext.broadcast(mixer)
-    counted = events.mapInPandas(cells, "cell int, ones double, n double").groupBy("cell").agg(F.sum("ones").alias("ones"), F.sum("n").alias("n")).collect()
+    counted = near.mapInPandas(cells, "cell int, ones double, n double").groupBy("cell").agg(F.sum("ones").alias("ones"), F.sum("n").alias("n")).collect()
     shared.destroy()
     learnt.destroy()
     for r in counted:
         path, low = divmod(r["cell"], BINS)
         mixer.map[path, low] = (r["ones"] + 20 * mixer.map[path, low]) / (r["n"] + 20)
     mixer.map = np.clip(mixer.map, 1e-5, 1 - 1e-5)
-    return mixer
+    return mixer, short
+
 
+def event_scores(events: DataFrame, wanted: DataFrame, mixer: Mixer, short: list[Counts]) -> DataFrame:
+    """(code, s): the log-probability of every code of wanted under the counts of all events."""
+    spark = events.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100000")
+    shared = spark.sparkContext.broadcast((mixer, short))
 
-def _head(words: DataFrame) -> DataFrame:
-    """The words of the greatest counts, HEAD at most; words of nearly one count are in or out together."""
-    level = F.floor(F.log2("c") * 1024)  # some ten thousand levels at most
-    ranked = words.where(F.col("word") != "").withColumn("level", level)
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mixer, short = shared.value
+        for b in _whole(batches):
+            asked = b["n"].isna().to_numpy()
+            if asked.any():
+                codes = np.sort(b["code"].to_numpy(np.int64)[asked])
+                s = mixer.at(Nodes(short, *_arrays(b[~asked]))).log10(codes.view(np.uint64))
+                for at in range(0, len(codes), 100_000):
+                    yield pd.DataFrame({"code": codes[at : at + 100_000], "s": s[at : at + 100_000]})
+
+    rows = events.select("code", "n").unionByName(wanted.select("code", F.lit(None).cast("bigint").alias("n")))
+    out = cut(_by_context(rows).mapInPandas(of, "code bigint, s double"), "event-scores")
+    shared.destroy()
+    small_batches(spark)
+    return out
+
+
+def _head(rows: DataFrame, count: str, most: int) -> DataFrame:
+    """The rows of the greatest counts, `most` at most; rows of nearly one count are in or out together."""
+    level = F.floor(F.log2(count) * 1024)  # some ten thousand levels at most
+    ranked = rows.withColumn("level", level)
     least, total = None, 0
     for r in ranked.groupBy("level").agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect():
         total += r["n"]
-        if total > HEAD:
+        if total > most:
             break
         least = r["level"]
-    return ranked.where(F.col("level") >= least if least is not None else F.lit(False)).select("word", "c")
+    return ranked.where(F.col("level") >= least if least is not None else F.lit(False)).drop("level")
 
 
 def score_texts(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -367,15 +488,16 @@ def score_texts(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", te
     events = cut(counts.where("code is not null").groupBy("code").agg(F.sum("n").alias("n")), "events")
     n_all, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     ends = (words.where("word = ''").first() or {"c": 0})["c"]
-    top = _head(words).toPandas()
-    mixer = train(events)
-    small_batches(spark)
+    top = _head(words.where("word != ''"), "c", HEAD).toPandas()
+    mixer, short = train(events)
+    common = event_scores(events, _head(events, "n", EVENT_HEAD), mixer, short).toPandas()
+    known = Known(common["code"].to_numpy(np.int64).view(np.uint64), common["s"].to_numpy(np.float64))
     head = {w.encode("utf-8"): x for w, x in zip(top["word"], np.log10(top["c"].to_numpy(np.float64) + 1))}
-    shared = spark.sparkContext.broadcast((head, mixer))  # HEAD words, tables of fixed size
+    shared = spark.sparkContext.broadcast((head, known))  # HEAD words, EVENT_HEAD events
 
-    @F.pandas_udf("n_words bigint, n_head bigint, head_log double, n_bytes bigint, score double, tail array<string>, tail_n array<bigint>")
+    @F.pandas_udf("n_words bigint, n_head bigint, head_log double, n_bytes bigint, score double, tail array<string>, tail_n array<bigint>, codes array<bigint>, codes_n array<bigint>")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        head, mixer = shared.value
+        head, known = shared.value
         for texts in batches:
             data, rows = [_lower(t) for t in texts], []
             for d in data:
@@ -389,7 +511,8 @@ def score_texts(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", te
                         log += k * x
                 rows.append((len(own), len(own) - sum(tail_n), log, len(d), tail, tail_n))
             out = pd.DataFrame(rows, columns=["n_words", "n_head", "head_log", "n_bytes", "tail", "tail_n"])
-            out.insert(4, "score", mixer.scores(data))
+            score, out["codes"], out["codes_n"] = known.scores(data)
+            out.insert(4, "score", score)
             yield out
 
     scored = docs.select(F.col(id_col).alias("doc_id"), *keep, F.monotonically_increasing_id().alias("row"), of(F.coalesce(F.col(text_col), F.lit(""))).alias("r"))
@@ -397,12 +520,16 @@ def score_texts(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", te
     shared.destroy()
     rare = scored.select("row", F.explode(F.arrays_zip("tail", "tail_n")).alias("t")).select("row", F.col("t.tail").alias("word"), F.col("t.tail_n").alias("k"))
     met = rare.join(words, "word").groupBy("row").agg(F.sum("k").alias("n_tail"), F.sum(F.col("k") * F.log10(F.col("c") + 1)).alias("tail_log"))
+    others = scored.select("row", F.explode(F.arrays_zip("codes", "codes_n")).alias("t")).select("row", F.col("t.codes").alias("code"), F.col("t.codes_n").alias("k"))
+    found = event_scores(events, others.select("code").distinct(), mixer, short)
+    behind = others.join(found, "code").groupBy("row").agg(F.sum(F.col("k") * F.col("s")).alias("rest"))
     n_tokens = F.col("n_words") + 1
     base = F.col("head_log") + F.coalesce("tail_log", F.lit(0.0)) + float(np.log10(ends + 1)) - n_tokens * float(np.log10(n_all + v + 1))
-    bits = F.col("score") * float(-np.log2(10))
-    return scored.join(met, "row", "left").select(
+    score = F.col("score") + F.coalesce("rest", F.lit(0.0))
+    bits = score * float(-np.log2(10))
+    return scored.join(met, "row", "left").join(behind, "row", "left").select(
         "doc_id", *keep, n_tokens.alias("n_tokens"), (F.col("n_head") + F.coalesce("n_tail", F.lit(0)) + int(ends > 0)).alias("n_known"), F.lit(int(n_all)).cast("bigint").alias("train_tokens"),
-        base.alias("base_score"), "score", bits.alias("total_bits"), (bits / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"),
+        base.alias("base_score"), score.alias("score"), bits.alias("total_bits"), (bits / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"),
     )
 
 

@@ -401,3 +401,31 @@ def test_empty_tables(spark, docs, labels):
 
 def test_remainders():
     assert common.remainder_of(None, 7) == 0 and common.remainder_of(12, 5) == zlib.crc32(b"12") % 5
+
+
+def test_context_counts_are_exact():
+    """Unrelated contexts share slots of a table of fixed size; the counts must hold them apart."""
+    rng = np.random.default_rng(3)
+    codes = np.unique(rng.integers(1 << 40, 1 << 48, 60_000).astype(np.uint64))
+    n = rng.integers(1, 50, len(codes)).astype(float)
+    slots = next(context_mixing._slots(codes))[2][4]
+    assert len(np.unique(slots)) < len(np.unique(codes >> np.uint64(8)))  # the case at hand: hashed nodes meet
+    short = [context_mixing.Counts(context_mixing._key(codes, k), n) for k in (1, 2)]
+    nodes = context_mixing.Nodes(short, codes, n)
+    some = np.concatenate([codes[:300], codes[:50] ^ np.uint64(5)])
+    for j, (bit, path, got) in enumerate(nodes.bits(some)):
+        for k in (1, 3, 5):
+            want = Counter()
+            for c, m in zip(context_mixing._key(codes, k).tolist(), n):
+                want[c >> (7 - j)] += m
+            for i, c in enumerate(context_mixing._key(some, k).tolist()):
+                node = c >> (8 - j) << 1
+                assert (got[k - 1, i, 0], got[k - 1, i, 1]) == (want[node], want[node | 1])
+
+
+def test_context_scores_of_broadcast_and_joined_events_agree(spark, docs, monkeypatch):
+    training = docs.where("doc_id % 2 = 0")
+    scores = lambda: sorted((str(r["doc_id"]), round(r["score"], 6)) for r in context_mixing.score_texts(docs, training).collect())
+    all_known = scores()
+    monkeypatch.setattr(context_mixing, "EVENT_HEAD", 40)
+    assert scores() == all_known
