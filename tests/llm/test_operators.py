@@ -429,3 +429,14 @@ def test_context_scores_of_broadcast_and_joined_events_agree(spark, docs, monkey
     all_known = scores()
     monkeypatch.setattr(context_mixing, "EVENT_HEAD", 40)
     assert scores() == all_known
+
+
+def test_language_keeps_rare_languages(spark, docs, monkeypatch):
+    rare = spark.createDataFrame([(900, "ĝis revido amiko ĉiam ŝanĝiĝas", "eo")], "doc_id bigint, text string, lang string")
+    both = docs.select("doc_id", "text", "lang").union(rare)
+    predictions = lambda model: sorted(str(tuple(r)) for r in both.select("doc_id", language_id.predicted(F.col("text"), model).alias("r")).select("doc_id", "r.*").collect())
+    whole = language_id.train(both)
+    monkeypatch.setattr(language_id, "MODEL_TRIGRAMS", 50)  # fewer than there are
+    model = language_id.train(both)
+    assert model.names == ["de", "en", "eo", "fr"] and model.alphabet == whole.alphabet
+    assert predictions(model) == predictions(whole) and any("'eo'" in r for r in predictions(model) if r.startswith("(900"))
