@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.llm import bin_slack, language_id, secret_scan, simhash_dedup, toxicity
-from recordloom.llm.common import cut, remainder, small_batches, table
+from recordloom.llm.common import cut, remainder, table
 
 #: Ids that go to all executors up to this many; beyond it rows are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
@@ -43,7 +43,6 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document of the smallest id stays; rows of one id go or stay together, those without an id stay."""
-    small_batches(spark)
     found = simhash_dedup.near_duplicates(docs)
     gone = cut(found.where("doc_id <> component_id").select("doc_id").distinct(), "near-duplicates")
     few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
