@@ -9,10 +9,12 @@ often as the counts allow. Each step uses up a length but for a few, so the
 number of steps is bounded by the capacity and not by the number of documents.
 
 Pieces then find their bin by their rank among pieces of the same length. Ranks
-are counted in salted groups, so that a length that very many documents have is
-never ranked in one task.
+are counted in salted groups of about RANKED pieces, so that a length that very
+many documents have is never ranked in one task. Salts are of row numbers of the
+written pieces, not of ids, so repeated or missing ids don't share one.
 
-Null texts count as empty: one piece of one token, the separator.
+Null texts count as empty: one piece of one token, the separator. Repeated rows are
+packed each; a null doc_id stays null. An empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -25,11 +27,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recordloom.llm import byte_bpe
-from recordloom.llm.common import cut, small_batches, table
+from recordloom.llm.common import cut, in_parts, table
 
 CAPACITY = 2048
 SEPARATOR = 0
-SALTS = 64
+#: Pieces of one length that are ranked together, about.
+RANKED = 1 << 14
+#: Groups that a length of fewer pieces is spread over, if it has 256 for each.
+SPREAD = 64
 
 
 def fullest(counts: dict[int, int], room: int) -> list[int]:
@@ -88,13 +93,12 @@ def places(packed: list[tuple[int, list[int]]]) -> list[tuple[int, int, int, int
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of each piece of each document."""
-    small_batches(docs.sparkSession)
     path = path or byte_bpe.model_path()
     end = SEPARATOR.to_bytes(4, "little")
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids_of = byte_bpe.codec(path).ids
-        for b in batches:
+        for b in in_parts(batches):
             rows = []
             for doc_id, text in zip(b["doc_id"], b["text"]):
                 ids = ids_of(text) + end
@@ -112,18 +116,18 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
 def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """pieces() with the sequence and the offset in it of each piece."""
     spark = docs.sparkSession
-    rows = cut(pieces(docs, id_col, text_col, path, capacity), "pieces")
-    salt = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int")
-    counts = rows.groupBy("length", salt.alias("salt")).agg(F.count("*").alias("n")).collect()  # at most capacity * SALTS rows
-    histogram: dict[int, int] = {}
-    firsts = []
-    for length, group, n in sorted(tuple(r) for r in counts):
-        firsts.append((length, group, histogram.get(length, 0)))
-        histogram[length] = histogram.get(length, 0) + n
+    rows = cut(pieces(docs, id_col, text_col, path, capacity).withColumn("row", F.monotonically_increasing_id()), "pieces")
+    histogram = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
+    salts = spark.createDataFrame([(length, max(-(-n // RANKED), min(SPREAD, -(-n // 256)))) for length, n in histogram.items()], "length bigint, salts int")
+    salted = rows.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("row"), F.col("salts")).cast("int")).drop("salts")
+    firsts, seen = [], {}
+    for length, group, n in sorted(tuple(r) for r in salted.groupBy("length", "salt").agg(F.count("*").alias("n")).collect()):  # a row for each RANKED pieces, and SPREAD for each length
+        firsts.append((length, group, seen.get(length, 0)))
+        seen[length] = seen.get(length, 0) + n
     first = spark.createDataFrame(firsts, "length bigint, salt int, first bigint")
     place = spark.createDataFrame(places(pack(histogram, capacity)), "length bigint, low bigint, n bigint, each bigint, bin bigint, base bigint")
-    order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece")
-    ranked = rows.withColumn("salt", salt).withColumn("row", F.row_number().over(order)).join(F.broadcast(first), ["length", "salt"]).withColumn("rank", F.col("first") + F.col("row") - 1)
+    order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "row")
+    ranked = salted.withColumn("own", F.row_number().over(order)).join(F.broadcast(first), ["length", "salt"]).withColumn("rank", F.col("first") + F.col("own") - 1)
     where = (ranked["length"] == place["length"]) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("low") + F.col("n"))
     in_bin = F.col("rank") - F.col("low")
     return ranked.join(F.broadcast(place), where).select(

@@ -14,11 +14,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zlib
+from collections.abc import Iterator
+from functools import cache
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch; with texts of some MB a batch still fits in a worker.
+#: Rows that a Python worker looks at together. What it is sent at a time Spark bounds by bytes (64 MB of Arrow).
 BATCH_ROWS = 256
 
 
@@ -26,18 +29,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound what one Python worker holds of long texts at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def in_parts(batches: Iterator[pd.Series | pd.DataFrame], rows: int = BATCH_ROWS) -> Iterator[pd.Series | pd.DataFrame]:
+    """The batches in parts of few rows, so that what is made of them stays small; no session setting is touched."""
+    for b in batches:
+        for at in range(0, len(b), rows):
+            yield b.iloc[at : at + rows]
+
+
+@cache
+def _own_dir(application: str) -> str:
+    return tempfile.mkdtemp(prefix="recordloom-")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is named."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="recordloom-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    """The folder that driver and executors share. Where none is named, one machine takes a temporary folder, and a cluster is an error."""
+    if path := spark.conf.get("spark.checkpoint.dir", None):
+        return path
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return _own_dir(spark.sparkContext.applicationId)
 
 
 def cut(df: DataFrame, what: str) -> DataFrame:

@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import cut, remainder, small_batches, table
+from recordloom.llm.common import cut, in_parts, remainder, table
 
 #: Bits of each order's table of contexts and paths, where counts are hashed (HashedNodes).
 TABLE_BITS = (16, 19, 20, 21, 22)
@@ -122,7 +122,7 @@ def corpus_counts(docs: DataFrame, text_col: str) -> DataFrame:
             words.clear()
             parts.clear()
 
-        for b in batches:
+        for b in in_parts(batches):
             data = [_lower(t) for t in b["text"]]
             for d in data:
                 words.update(d.split())
@@ -402,7 +402,6 @@ class Known:
 def train(events: DataFrame) -> tuple[Mixer, list[Counts]]:
     """The mixer of (code, n), and the counts of short contexts. Each partition learns weights online over its events; they are averaged by events."""
     spark = events.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100000")
     short, mixer = short_counts(events), Mixer()
     shared = spark.sparkContext.broadcast(short)  # at most 2^24 counts
 
@@ -443,7 +442,6 @@ def train(events: DataFrame) -> tuple[Mixer, list[Counts]]:
 def event_scores(events: DataFrame, wanted: DataFrame, mixer: Mixer, short: list[Counts]) -> DataFrame:
     """(code, s): the log-probability of every code of wanted under the counts of all events."""
     spark = events.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100000")
     shared = spark.sparkContext.broadcast((mixer, short))
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -459,7 +457,6 @@ def event_scores(events: DataFrame, wanted: DataFrame, mixer: Mixer, short: list
     rows = events.select("code", "n").unionByName(wanted.select("code", F.lit(None).cast("bigint").alias("n")))
     out = cut(_by_context(rows).mapInPandas(of, "code bigint, s double"), "event-scores")
     shared.destroy()
-    small_batches(spark)
     return out
 
 
@@ -482,7 +479,6 @@ def score_texts(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", te
     Columns: doc_id, those of `keep`, n_tokens, n_known, train_tokens, base_score, score, total_bits, bits_per_byte.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     counts = cut(corpus_counts(training, text_col), "counts")
     words = cut(counts.where("word is not null").groupBy("word").agg(F.sum("n").alias("c")), "words")
     events = cut(counts.where("code is not null").groupBy("code").agg(F.sum("n").alias("n")), "events")
@@ -498,7 +494,7 @@ def score_texts(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", te
     @F.pandas_udf("n_words bigint, n_head bigint, head_log double, n_bytes bigint, score double, tail array<string>, tail_n array<bigint>, codes array<bigint>, codes_n array<bigint>")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         head, known = shared.value
-        for texts in batches:
+        for texts in in_parts(batches):
             data, rows = [_lower(t) for t in texts], []
             for d in data:
                 own, log, tail, tail_n = d.split(), 0.0, [], []

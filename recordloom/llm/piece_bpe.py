@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -27,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import small_batches, table
+from recordloom.llm.common import in_parts, table
 from recordloom.llm.memo import Memo
 
 SPACE = "▁"
@@ -66,8 +67,7 @@ class PieceCodec:
                 self.automaton.add_word(t, (k, len(t)))
         self.automaton.make_automaton()
         self.alphabet = {c for t in self.tokens for c in t}
-        self.fits = Memo(self._fits, 150_000)
-        self.odd: dict[str, str] = {}
+        self.fits = Memo(self._fits, 150_000, longest=0)
         self.units = Memo(self._unit)
 
     def merged(self, text: str) -> list[str]:
@@ -90,7 +90,8 @@ class PieceCodec:
 
     def _run(self, text: str) -> list[int]:
         """Ids of a text whose characters all occur in pieces."""
-        last, size, fits = [-1] * (len(text) + 1), [0] * (len(text) + 1), self.fits
+        room = (lambda x: [x] * (len(text) + 1)) if len(text) < 1 << 16 else (lambda x: array("i", [x]) * (len(text) + 1))
+        last, size, fits = room(-1), room(0), self.fits
         for end, (token, n) in self.automaton.iter(text):
             end += 1
             if last[end] < 0:  # the valid one is unique: no other is tried once it is found
@@ -119,10 +120,10 @@ class PieceCodec:
         return ids + (self._run(unit[start:]) if start < len(unit) else [])
 
     def _unit(self, unit: str) -> str:
+        """The ids as text, and behind a NUL what they decode to, where that isn't the unit itself."""
         ids = self.unit_ids(unit)
-        if (back := self.surface(ids)) != unit:
-            self.odd[unit] = back
-        return ",".join(map(str, ids))
+        back = self.surface(ids)
+        return ",".join(map(str, ids)) + ("" if back == unit else "\0" + back)
 
     def surface(self, ids: list[int]) -> str:
         """The text of ids, without taking away the leading space."""
@@ -157,8 +158,12 @@ class PieceCodec:
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of ids, SHA-256 of the ids as text, SHA-256 of the decoded text; unit by unit through the memo."""
         units, kept = self.split(text), self.units
-        ids = ",".join([kept[u] for u in units])
-        back = "".join(units if not self.odd else [self.odd.get(u, u) for u in units]).removeprefix(" ")
+        own = [kept[u] for u in units]
+        ids = ",".join(own)
+        if "\0" in ids:
+            pairs = [o.partition("\0") for o in own]
+            ids, units = ",".join(p[0] for p in pairs), [p[2] if p[1] else u for p, u in zip(pairs, units)]
+        back = "".join(units).removeprefix(" ")
         sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
         return ids.count(",") + 1 if ids else 0, sha(ids), sha(back)
 
@@ -192,13 +197,12 @@ def decoded(ids: Column, path: str | None = None) -> Column:
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every text, encoded and decoded again."""
-    small_batches(docs.sparkSession)
     path = path or model_path()
 
     @F.pandas_udf("n_tokens bigint, ids_sha256 string, decoded_sha256 string")
     def digests(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = codec(path)
-        for texts in batches:
+        for texts in in_parts(batches):
             yield pd.DataFrame([own.digest(t) for t in texts], columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col(id_col).alias("doc_id"), digests(F.coalesce(F.col(text_col), F.lit(""))).alias("r")).select("doc_id", "r.*")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recordloom.llm import byte_bpe
-from recordloom.llm.common import cut, small_batches, table
+from recordloom.llm.common import cut, in_parts, table
 
 #: Lengths in a block; suffix sums are made within blocks, and over blocks.
 BLOCK = 4096
@@ -25,7 +25,7 @@ def n_tokens(text: Column, path: str | None = None) -> Column:
     @F.pandas_udf("bigint")
     def lengths(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         ids_of = byte_bpe.codec(path).ids
-        for texts in batches:
+        for texts in in_parts(batches):
             yield pd.Series([len(ids_of(t)) // 4 for t in texts], dtype="int64")
 
     return lengths(F.coalesce(text, F.lit("")))
@@ -38,7 +38,6 @@ def length_histogram(docs: DataFrame, text_col: str = "text", path: str | None =
     that length or more; truncated_tokens: all documents' tokens if each is cut at that length;
     share_le: the part of the documents of that length or less.
     """
-    small_batches(docs.sparkSession)
     counted = docs.select(n_tokens(F.col(text_col), path).alias("length")).groupBy("length").agg(F.count("*").alias("n_docs"))
     counted = cut(counted.withColumn("n_tokens", F.col("length") * F.col("n_docs")), "lengths")
     block = F.floor(F.col("length") / BLOCK).cast("bigint").alias("block")

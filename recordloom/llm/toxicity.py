@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import cut, remainder, small_batches, table
+from recordloom.llm.common import cut, in_parts, remainder, table
 from recordloom.llm.letters import letters, slices
 
 #: Lengths of the n-grams, and bits of their hashes.
@@ -103,7 +103,6 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float =
 def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic") -> Classifier:
     """The classifier of the labelled rows of docs; labels: (id_col, label_col) with 1 for toxic."""
     spark = docs.sparkSession
-    small_batches(spark)
     own = labels.select(F.col(id_col).alias("key"), F.col(label_col).cast("int").alias("y")).where("key is not null and y in (0, 1)").groupBy("key").agg(F.max("y").alias("y"))
     texts = docs.select(F.col(id_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     present = cut(own.join(docs.select(F.col(id_col).alias("key")).distinct(), "key"), "labelled")
@@ -118,7 +117,7 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n = np.zeros((2, 1 << HASH_BITS), dtype=np.int64)
-        for b in batches:
+        for b in in_parts(batches):
             number, feature = hits(b["text"].tolist())
             y = b["y"].to_numpy()[number]
             for k in (0, 1):
@@ -136,7 +135,7 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
 
     @F.pandas_udf("array<int>")
     def features(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
+        for texts in in_parts(batches):
             number, feature = hits(texts.tolist(), shared.value)
             yield pd.Series(np.split(feature.astype(np.int32), np.searchsorted(number, np.arange(1, len(texts)))), dtype=object)
 
@@ -157,7 +156,7 @@ def scored(text: Column, model: Classifier) -> Column:
 
     @F.pandas_udf("score double, predicted int")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
+        for texts in in_parts(batches):
             score = shared.value.score(texts.tolist())
             yield pd.DataFrame({"score": score, "predicted": (score >= 0.5).astype("int32")})
 
