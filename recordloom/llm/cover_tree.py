@@ -4,38 +4,51 @@ Vectors of one label link at a cosine of THRESHOLD or more; on unit vectors that
 is a Euclidean distance of sqrt(2 - 2 * THRESHOLD) or less. Equal vectors are one
 class before anything else, with its size as a weight.
 
-A label's classes are cut in blocks of about BLOCK: by the nearest of some pivots
-where a label has more, and at random within a pivot's cell where that has more
-still. Two blocks meet unless their pivots' distance, less both radii, rules out
-any link. In a meeting, each block's cover tree has nested levels with halving
-radii; a pair of nodes is left alone if its centres lie too far apart for the
-covering radii, and linked as a whole if all of it must link, so that a dense group
-is counted and joined without visiting its pairs. Meetings give link counts and
-the edges of a spanning forest, never all pairs.
+The tree has two parts. Above, its levels are tables, made for all labels at once:
+each node of more than BLOCK classes that still has an open pair is opened by up to
+PIVOTS pivots, a net of half its radius among a few of its points, and every class
+goes to its nearest pivot: to the pivot's inner child, if it lies within half the
+radius, else to its outer one. The open pairs of nodes follow level by level: a pair
+is closed if its centres lie too far apart for both radii, and linked as a whole,
+by sums over its nodes, if all of it must link. What is left are pairs of nodes of
+BLOCK classes at most; each such pair meets in one task, where the tree goes on below:
+nested levels with halving radii, traversed in pairs in the same way. Meetings give
+link counts and the edges of a spanning forest, never all pairs. Vectors that
+no ball tells apart, like random directions, all have to meet: then the work
+grows with the square of a label's classes, as in any exact tree.
 
 Vectors that are null, zero, or hold null or non-finite components, and those
 without a label, link with nothing: each is its own component. Vectors of different
-lengths don't link. A null vec_id stays null and isn't kept.
+lengths don't link. A null vec_id stays null and isn't kept. Repeated rows link with
+each other. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
+from itertools import count
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.llm.common import cut, table
 from recordloom.llm.components import components
 
 THRESHOLD = 0.98
-#: Classes in a block, pivots of a large label, pivots of all labels.
-BLOCK, PIVOTS, ALL_PIVOTS = 4096, 64, 4096
+#: Classes of a node that isn't opened in the tables; pivots of one that is, of so many of its points.
+BLOCK, PIVOTS, SAMPLE = 8192, 64, 512
+#: Classes that look for their pivots in one task.
+PART = 16_384
+#: A node of this radius can't be told apart by distance; its classes are dealt out evenly.
+POINT = 1e-9
 #: What rounding may add to a distance; pairs that near a bound are compared one by one.
 SLACK = 1e-7
 LEAF = 32
+#: Children of a node after which, if most are single points, the rest become single points too.
+TRIED = 64
 
 
 @dataclass
@@ -69,12 +82,16 @@ class CoverTree:
 
     def children(self, node: Node) -> list[Node]:
         if node.children is None:
-            node.children, left, center, half = [], node.points, node.center, node.radius / 2
+            node.children, left, center, half, single = [], node.points, node.center, node.radius / 2, 0
             while len(left):
+                if len(node.children) >= TRIED and 2 * single > len(node.children):
+                    node.children += [Node(left[k : k + 1], int(left[k]), 0.0) for k in range(len(left))]
+                    break
                 inside = self._far(left, center) <= half
                 inside |= left == center
                 node.children.append(self._node(left[inside], center))
                 left = left[~inside]
+                single += len(node.children[-1].points) == 1
                 center = int(left[0]) if len(left) else -1
             node.grid = _grid(node.children)
         return node.children
@@ -210,65 +227,132 @@ def _meet(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["u", "v", "links"]).astype({"u": "int64", "v": "Int64", "links": "int64"})
 
 
-def _pivoted(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Classes with the pivot that they are nearest to and their distance from it, and the distances of pivots of one label.
-
-    Labels of one block, and all labels if there are too many large ones, have pivot 0 alone.
+def _net(rows: pd.DataFrame) -> pd.DataFrame:
+    """Pivots (node, k, center) of one opened node, from rows (node, radius, class, embedding): each the point farthest from those before."""
+    node, radius = rows["node"].iloc[0], float(rows["radius"].iloc[0])
+    x = _units(rows.sort_values("class")["embedding"].head(SAMPLE))
+    if radius <= POINT:
+        chosen = [x[0]] * PIVOTS
+    else:
+        chosen, far = [x[0]], np.linalg.norm(x - x[0], axis=1)
+        while len(chosen) < PIVOTS and far.max() > radius / 2:
+            chosen.append(x[int(far.argmax())])
+            far = np.minimum(far, np.linalg.norm(x - chosen[-1], axis=1))
+    return pd.DataFrame({"node": node, "k": range(len(chosen)), "center": chosen})
+
+
+def _dealt(rows: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
+    """Some classes of one node with the child that they go to and their distance from its centre."""
+    if not len(rows):
+        return pd.DataFrame({"class": [], "size": [], "embedding": [], "node": [], "k": [], "outer": [], "far": []})
+    pivots = pivots.sort_values("k")
+    p, radius, out = np.stack(pivots["center"]), float(rows["radius"].iloc[0]), []
+    for at in range(0, len(rows), 1024):
+        some = rows.iloc[at : at + 1024]
+        d = np.sqrt(np.maximum(2 - 2 * (_units(some["embedding"]) @ p.T), 0))
+        if radius <= POINT:
+            k = (some["class"].to_numpy(np.int64) * 0x9E3779B1 >> 16) % len(p)
+        else:
+            k = d.argmin(axis=1)
+        far = np.linalg.norm(_units(some["embedding"]) - p[k], axis=1)
+        out.append(pd.DataFrame({"class": some["class"].to_numpy(), "size": some["size"].to_numpy(), "embedding": some["embedding"].to_numpy(), "node": some["node"].to_numpy(), "k": k, "outer": (far > radius / 2) & (radius > POINT), "far": far}))
+    return pd.concat(out)
+
+
+def _apart(a: Column, b: Column) -> Column:
+    @F.pandas_udf("double")
+    def of(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = [np.linalg.norm(np.stack(a.iloc[at : at + 1024]) - np.stack(b.iloc[at : at + 1024]), axis=1) for at in range(0, len(a), 1024)]
+        return pd.Series(np.concatenate(out) if out else np.zeros(0))
+
+    return of(a, b)
+
+
+def _grown(classes: DataFrame, block: int, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The upper tree of all labels: members (class, size, embedding, node), open pairs (u, v), pairs that link as a whole (u, v), nodes (node, size, rep).
+
+    A node's name is its parent's with a part more. An open pair of a node with itself has u = v.
     """
-    spark = classes.sparkSession
-    sizes = classes.groupBy("label", "dim").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
-    large = min(sizes.limit(ALL_PIVOTS + 1).count(), ALL_PIVOTS + 1)
-    each = min(PIVOTS, ALL_PIVOTS // max(large, 1))
-    pivots: dict[tuple, np.ndarray] = {}
-    if large and each > 1:
-        for r in sizes.collect():
-            some = classes.where((F.col("label") == r["label"]) & (F.col("dim") == r["dim"])).orderBy(F.xxhash64("class")).limit(min(each, 1 + r["n"] // 1024)).select("embedding").toPandas()
-            pivots[r["label"], r["dim"]] = _units(some["embedding"])
-    shared = spark.sparkContext.broadcast(pivots)  # ALL_PIVOTS vectors at most
-
-    @F.pandas_udf("pivot int, far double")
-    def nearest(labels: pd.Series, dims: pd.Series, vectors: pd.Series) -> pd.DataFrame:
-        out = []
-        for label, dim, v in zip(labels, dims, vectors):
-            p = shared.value.get((label, dim))
-            if p is None:
-                out.append((0, 2.0))
-                continue
-            d = np.linalg.norm(p - _units(pd.Series([v])), axis=1)
-            out.append((int(d.argmin()), float(d.min())))
-        return pd.DataFrame(out, columns=["pivot", "far"])
-
-    placed = classes.select("*", nearest("label", "dim", "embedding").alias("p")).select(*classes.columns, "p.*")
-    between = [(i, j, k, n, float(np.linalg.norm(p[k] - p[n]))) for (i, j), p in pivots.items() for k in range(len(p)) for n in range(len(p))]
-    return placed, spark.createDataFrame(between, "label bigint, dim int, p int, q int, apart double")
-
-
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+    far = float(np.sqrt(2 - 2 * threshold))
+    root = F.concat_ws("x", "label", "dim")
+    members = classes.select("class", "size", "embedding", root.alias("node"))
+    stats = lambda rows, *more: rows.groupBy("node", *more).agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.min("class").alias("rep"))
+    nodes = cut(stats(members).withColumn("radius", F.lit(2.0)), "nodes")
+    pairs = nodes.select(F.col("node").alias("u"), F.col("node").alias("v"))
+    settled, known, open_pairs, whole = [], [nodes.select("node", "size", "rep")], [], []
+    for level in count():
+        live = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+        big = cut(nodes.where(F.col("n") > block).join(live, "node").select("node", "n", "radius"), "big-nodes")
+        if not big.limit(1).count():
+            break
+        settled.append(members.join(big, "node", "left_anti"))
+        of_big = members.join(big, "node")
+        few = F.pmod(F.xxhash64("class", F.lit(level)), F.lit(1 << 30)) < (1 << 30) * 2 * SAMPLE / F.col("n")
+        pivots = cut(of_big.where(few).groupBy("node").applyInPandas(_net, "node string, k int, center array<double>"), "pivots")
+        parted = F.ceil(F.col("n") / PART).cast("int")
+        rows = of_big.withColumn("part", F.pmod(F.xxhash64("class"), parted).cast("int"))
+        copies = pivots.join(big, "node").select("node", "k", "center", F.explode(F.sequence(F.lit(0), parted - 1)).alias("part"))
+        found = rows.groupBy("node", "part").cogroup(copies.groupBy("node", "part"))
+        dealt = found.applyInPandas(_dealt, "class bigint, size bigint, embedding array<double>, node string, k int, outer boolean, far double")
+        name = F.concat("node", F.lit("/"), F.col("k").cast("string"), F.when(F.col("outer"), "+").otherwise(""))
+        dealt = cut(dealt.select("class", "size", "embedding", F.col("node").alias("parent"), "k", "far", name.alias("node")), "members")
+        members = dealt.select("class", "size", "embedding", "node")
+        made = stats(dealt, "parent", "k").join(dealt.groupBy("node").agg(F.max("far").alias("radius")), "node")
+        made = made.join(pivots.withColumnRenamed("node", "parent"), ["parent", "k"])
+        # pairs of nodes of which neither is opened stay; the others are opened, a node that isn't stands for itself
+        nodes_now = nodes if "center" in nodes.columns else nodes.withColumn("center", F.lit(None).cast("array<double>"))
+        own = nodes_now.join(big, "node", "left_anti").select(F.col("node").alias("parent"), "node", "radius", "center", "n", "size", "rep", F.lit(False).alias("new"))
+        below = cut(own.unionByName(made.select("parent", "node", "radius", "center", "n", "size", "rep", F.lit(True).alias("new"))), "below")
+        known.append(below.where("new").select("node", "size", "rep"))
+        flagged = lambda side: big.select(F.col("node").alias(side), F.lit(True).alias(f"{side}_big"))
+        marked = cut(pairs.join(flagged("u"), "u", "left").join(flagged("v"), "v", "left"), "pairs")
+        open_pairs.append(marked.where("u_big is null and v_big is null").select("u", "v"))
+        side = lambda s: below.select(F.col("parent").alias(s), F.col("node").alias(f"{s}2"), F.col("radius").alias(f"r{s}"), F.col("center").alias(f"c{s}"))
+        met = marked.where("u_big or v_big").join(side("u"), "u").join(side("v"), "v").where("u <> v or u2 <= v2")
+        reach = F.col("ru") + F.col("rv")
+        met = met.withColumn("d", F.when(F.col("u2") == F.col("v2"), F.lit(0.0)).otherwise(_apart(F.col("cu"), F.col("cv"))))
+        met = cut(met.where(F.col("d") <= far + reach + SLACK).select(F.col("u2").alias("u"), F.col("v2").alias("v"), (F.col("d") + reach + SLACK <= far).alias("whole")), "node-pairs")
+        whole.append(met.where("whole").select("u", "v"))
+        pairs, nodes = met.where("not whole").select("u", "v"), below.select("node", "radius", "center", "n", "size", "rep")
+    settled.append(members)
+    open_pairs.append(pairs)
+    join = lambda parts: reduce(DataFrame.unionByName, parts) if parts else pairs.limit(0)
+    return join(settled), join(open_pairs), join(whole), join(known)
+
+
+def _linked_whole(members: DataFrame, whole: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(class, links) and edges (u, v) that pairs of nodes give which link as a whole; a node with itself has u = v."""
+    both = whole.union(whole.where("u <> v").select("v", "u"))
+    one = nodes.select(F.col("node").alias("u"), F.col("rep").alias("rep_u"))
+    two = nodes.select(F.col("node").alias("v"), F.col("rep").alias("rep_v"), F.col("size").alias("size_v"))
+    named = cut(both.join(one, "u").join(two, "v"), "whole-pairs")
+    more = named.groupBy(F.col("u").alias("node")).agg(F.sum("size_v").alias("more"), F.max((F.col("u") == F.col("v")).cast("int")).alias("self"), F.min("rep_v").alias("rep"))
+    parts = F.split("node", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
+    under = cut(members.select("class", "size", F.explode(above).alias("node")).join(more, "node"), "under-whole")
+    links = under.groupBy("class").agg(F.sum(F.col("more") - F.col("self") * F.col("size")).alias("links"))
+    edges = named.select(F.col("rep_u").alias("u"), F.col("rep_v").alias("v")).union(under.select("class", "rep")).where("u <> v")
+    return links, edges
+
+
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", block: int = BLOCK) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of each row."""
-    spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"), F.col(label_col).cast("bigint").alias("label"))
     finite = F.forall("embedding", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
     valid = F.coalesce(F.col("label").isNotNull() & finite & F.exists("embedding", lambda x: x != 0), F.lit(False))
     good = rows.where(valid)
     grouped = good.groupBy("label", "embedding").agg(F.count("*").alias("size"), F.min("vec_id").alias("least"))
     classes = cut(grouped.select("label", "embedding", F.size("embedding").alias("dim"), "size", "least", F.monotonically_increasing_id().alias("class")), "classes")
-    placed, between = _pivoted(classes)
-    placed = cut(placed, "placed")
-    cells = placed.groupBy("label", "dim", "pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("salts"))
-    placed = placed.join(cells, ["label", "dim", "pivot"]).withColumn("salt", F.pmod(F.xxhash64("class"), F.col("salts")).cast("int"))
-    placed = cut(placed.withColumn("block", F.xxhash64("label", "dim", "pivot", "salt")), "blocks")
-    blocks = cut(placed.groupBy("label", "dim", "pivot", "salt", "block").agg(F.max("far").alias("radius")), "block-radii")
-    a = blocks.select("label", "dim", F.col("pivot").alias("p"), F.col("salt").alias("s"), F.col("block").alias("one"), F.col("radius").alias("ra"))
-    b = blocks.select("label", "dim", F.col("pivot").alias("q"), F.col("salt").alias("t"), F.col("block").alias("two"), F.col("radius").alias("rb"))
-    reach = F.col("ra") + F.col("rb") + float(np.sqrt(2 - 2 * THRESHOLD)) + SLACK
-    pairs = a.join(b, ["label", "dim"]).where(F.struct("p", "s") <= F.struct("q", "t")).join(between, ["label", "dim", "p", "q"], "left")
-    pairs = cut(pairs.where(F.col("apart").isNull() | (F.col("apart") <= reach)).select("label", "dim", "p", "s", "q", "t"), "block-pairs")
-    side = lambda k, p, s: pairs.where(F.lit(k == 0) | (F.struct("p", "s") != F.struct("q", "t"))).select("label", "dim", F.col(p).alias("pivot"), F.col(s).alias("salt"), F.lit(k).alias("side"), F.struct("p", "s", "q", "t").alias("pair"))
-    members = placed.join(side(0, "p", "s").union(side(1, "q", "t")), ["label", "dim", "pivot", "salt"])
-    met = members.select("label", "dim", "pair", "side", "class", "size", "embedding").groupBy("label", "dim", "pair")
+    members, pairs, whole, nodes = _grown(classes, block, THRESHOLD)
+    side = lambda k, s: pairs.where("u <> v" if k else "true").select(F.col(s).alias("node"), F.lit(k).alias("side"), F.struct("u", "v").alias("pair"))
+    met = members.join(side(0, "u").union(side(1, "v")), "node").select("pair", "side", "class", "size", "embedding").groupBy("pair")
     found = cut(met.applyInPandas(_meet, "u bigint, v bigint, links bigint"), "links")
-    links = found.where("v is null").groupBy(F.col("u").alias("class")).agg(F.sum("links").alias("links"))
-    roots = components(found.where("v is not null").select("u", "v")).select(F.col("node").alias("class"), "root")
+    links, edges = found.where("v is null").select(F.col("u").alias("class"), "links"), found.where("v is not null").select("u", "v")
+    if whole.limit(1).count():
+        more, joined = _linked_whole(members, whole, nodes)
+        links, edges = links.union(more), edges.union(joined)
+    links = links.groupBy("class").agg(F.sum("links").alias("links"))
+    roots = components(edges).select(F.col("node").alias("class"), "root")
     named = classes.join(links, "class", "left").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = named.join(least, "root").select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), "component_id")
