@@ -2,28 +2,42 @@
 
 A text (A-Z in lower case) is a sequence of bytes and one end symbol, a byte a
 path of eight bits. For the contexts of the last one to five bytes, it is
-counted how often each bit was 0 and 1 behind each context and path. A
-prediction mixes the log-odds of the five orders with weights that are chosen
-by a gate: how far the word has come, and how often the longer contexts were seen. Weights are learnt online,
-in small steps over the events of the corpus; of each event one occurrence is
-taken off the counts, so that the weights suit text not yet seen. Last, an
-adaptive map over the path so far and the mixed odds refines the probability.
+counted how often each bit was 0 and 1 behind each context and path. A mixer
+adds up the log-odds of the five orders with weights that are chosen by a gate: how
+far the word has come, and how often the longer contexts were seen. An adaptive
+map over the path so far and the mixed odds refines the probability.
+
+There are three mixers: one for text that the corpus doesn't hold, learnt with one
+occurrence of each event left out of the counts; one for text that it holds, learnt
+without; and one of the short contexts alone, for text unlike the corpus. Each text
+is scored online: it starts with even odds for the mixers, and after every byte
+their odds are multiplied by what they gave the byte, with separate odds for
+each level of how often the byte's context was seen. A byte's probability is the mean
+over the mixers by the odds so far. The products telescope, so that
+a text's probability comes from the sums of its bytes' log-probabilities by mixer
+and level, in any order (online()); it depends on the text and the model alone.
 
 An event is a byte with the five before it. What the corpus says is the count
-of each event, over all training text; bit counts, weights and map are all
+of each event, over all training text; bit counts, weights and maps are all
 made of these counts. Bit counts are exact and of every context, however many
-there are: events with the same last three bytes lie in one partition, where
-all counts of the longer contexts come from, and those of the last one and two
-bytes, 2^24 at most, are broadcast. A text's score depends on the text and the
-model only. Scores of the most frequent events, EVENT_HEAD at most, are
-broadcast; the other events of each text meet theirs in a join.
+there are. Contexts are hashed to shards of about SHARD events, with all counts of
+the longer contexts that they need; counts of the last one and two bytes, 2^24
+at most, are broadcast. Shards are cut by a hash of the context and the number of
+events alone, and weights are learnt online over each shard's events in an order by
+hash, then averaged, twice over; so the model doesn't depend on the partitions or
+the cluster. A context of three bytes that many events share is dealt by four, each
+part with a copy of the counts behind the three.
+
+Scores of the most frequent events, EVENT_HEAD at most, are broadcast; the other
+events of each text meet theirs in a join.
 
 The base score is a unigram model over words with one added to each count.
 Counts of the most frequent words, HEAD at most, are broadcast; the other words
 of each text meet theirs in a join, and none of them is frequent.
 
 Null texts count as empty: the end symbol alone. A null doc_id counts as the
-empty text in the split. With no training text every bit is even odds.
+empty text in the split. With no training text every bit is even odds. Repeated rows
+are scored each, and count as often as they occur. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,26 +47,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.llm.common import cut, in_parts, remainder, table
 
-#: Bits of each order's table of contexts and paths, where counts are hashed (HashedNodes).
-TABLE_BITS = (16, 19, 20, 21, 22)
-_BASE = np.concatenate([[0], np.cumsum([1 << b for b in TABLE_BITS])])
-ORDERS = len(TABLE_BITS)
+ORDERS = 5
 #: Words whose counts are broadcast at most.
 HEAD = 1 << 17
 #: Events whose scores are broadcast at most.
 EVENT_HEAD = 1 << 18
-#: Bytes of a context whose counts are broadcast; one more and the counts stay in their partition.
+#: Bytes of a context whose counts are broadcast; one more and the counts stay in their shard.
 SHORT = 2
+#: Events of a shard, about; events of a context of three bytes from which it is dealt by four.
+SHARD, HOT = 1 << 16, 1 << 12
 #: Bytes since the last separator (up to five), and how often the two longest contexts were seen.
 GATES = 6 * 5 * 5
+#: Occurrences left out of the counts, and longest context, of each mixer.
+MIXERS = ((1.0, 5), (0.0, 5), (1.0, 3))
+#: Levels of how often a byte's context was seen, each with odds of its own in a text.
+LEVELS = (0.5, 3.5)
 BINS, LIMIT = 33, 8.0
-STEP, BATCH = 0.05, 4096
-_CHUNK = 1 << 17
+STEP, BATCH, EPOCHS = 0.05, 4096, 2
 _SLOTS = 21
 #: Bytes that are looked at together.
 _BLOCK = 1 << 21
@@ -100,79 +116,53 @@ def _lower(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass").lower()
 
 
-def corpus_counts(docs: DataFrame, text_col: str) -> DataFrame:
-    """(word, code, n): counts of words, of the end token as the empty word, and of events; one of word and code is null."""
+def corpus_counts(docs: DataFrame, text_col: str, learn: Column) -> DataFrame:
+    """(word, code, n): counts in the rows to learn from of words, of the end token as the empty word, and of events; one of word and code is null.
+
+    Events of the other rows are there too, with count 0 if no row to learn from has them.
+    """
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words: Counter[bytes] = Counter()
-        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
-            codes, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-            return codes, np.bincount(place, weights=np.concatenate([p[1] for p in parts])).astype(np.int64)
+            codes, place = np.unique(np.concatenate([p[0] for p in held]), return_inverse=True)
+            return codes, np.bincount(place, weights=np.concatenate([p[1] for p in held])).astype(np.int64)
 
         def out() -> Iterator[pd.DataFrame]:
             if words:
                 yield pd.DataFrame({"word": [w.decode("utf-8", "replace") for w in words], "code": pd.array([None] * len(words), dtype="Int64"), "n": list(words.values())})
-            if parts:
+            if held:
                 codes, n = merged()
                 for at in range(0, len(codes), 100_000):
                     some = codes[at : at + 100_000].view(np.int64)
                     yield pd.DataFrame({"word": pd.Series([None] * len(some), dtype=object), "code": pd.array(some, dtype="Int64"), "n": n[at : at + 100_000]})
             words.clear()
-            parts.clear()
+            held.clear()
 
         for b in in_parts(batches):
-            data = [_lower(t) for t in b["text"]]
-            for d in data:
-                words.update(d.split())
-            words[b""] += len(data)
-            for _, codes, _ in _blocks(data):
-                parts.append(np.unique(codes, return_counts=True))
-                if len(parts) > 8:
-                    parts[:] = [merged()]
-            if len(words) > 400_000 or sum(len(p[0]) for p in parts) > 2_000_000:
+            for learnt in (True, False):
+                data = [_lower(t) for t in b["text"][b["learn"].to_numpy(bool) == learnt]]
+                if learnt and data:
+                    for d in data:
+                        words.update(d.split())
+                    words[b""] += len(data)
+                for _, codes, _ in _blocks(data):
+                    own, n = np.unique(codes, return_counts=True)
+                    held.append((own, n if learnt else np.zeros(len(own), np.int64)))
+                    if len(held) > 8:
+                        held[:] = [merged()]
+            if len(words) > 400_000 or sum(len(p[0]) for p in held) > 2_000_000:
                 yield from out()
         yield from out()
 
-    return docs.select(F.col(text_col).alias("text")).mapInPandas(of, "word string, code bigint, n bigint")
-
-
-def _slots(codes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(bit number, the bit of each event, slots by order, path before the bit), for the eight bits of the events' bytes."""
-    context, byte = codes >> np.uint64(8), (codes & np.uint64(255)).astype(np.int64)
-    mixed = []
-    for k in range(ORDERS):
-        own = context & np.uint64((1 << 8 * (k + 1)) - 1)
-        mixed.append((own + np.uint64(1 + k)) * np.uint64(0x9E3779B97F4A7C15))
-    path = np.ones(len(codes), dtype=np.int64)
-    for j in range(8):
-        bit = byte >> (7 - j) & 1
-        slots = np.empty((ORDERS, len(codes)), dtype=np.int64)
-        for k in range(ORDERS):
-            h = (mixed[k] ^ (path.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))) * np.uint64(0xFF51AFD7ED558CCD)
-            slots[k] = _BASE[k] + (h >> np.uint64(64 - TABLE_BITS[k])).astype(np.int64)
-        yield j, bit, slots, path
-        path = path * 2 + bit
-
-
-def _packed(n: np.ndarray) -> np.ndarray:
-    return np.minimum(255, np.rint(8 * np.log2(1 + n))).astype(np.uint8)
-
-
-_COUNT = 2.0 ** (np.arange(256) / 8) - 1
-_COUNT[:9] = np.rint(_COUNT[:9])
+    return docs.select(F.col(text_col).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn")).mapInPandas(of, "word string, code bigint, n bigint")
 
 
-class HashedNodes:
-    """Counts of nodes in tables of fixed size, where different nodes may share a slot: for small texts only."""
-
-    def __init__(self, tables: np.ndarray):
-        self.tables = tables
-
-    def bits(self, codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        for _, bit, slots, path in _slots(codes):
-            yield bit, path, _COUNT[self.tables[slots]]
+def _key(codes: np.ndarray, order: int) -> np.ndarray:
+    """Each event's byte with the last `order` bytes before it."""
+    return codes & np.uint64((1 << 8 * (order + 1)) - 1)
 
 
 class Counts:
@@ -192,21 +182,33 @@ class Counts:
         return out[:, place]
 
 
-def _key(codes: np.ndarray, order: int) -> np.ndarray:
-    return codes & np.uint64((1 << 8 * (order + 1)) - 1)
-
-
 class Nodes:
-    """Exact counts of nodes: those of short contexts, and of the longer ones those that codes and n hold."""
+    """Exact bit counts of some events under every order's context.
 
-    def __init__(self, short: list[Counts], codes: np.ndarray, n: np.ndarray):
-        self.orders = short + [Counts(_key(codes, k), n) for k in range(len(short) + 1, ORDERS + 1)]
+    short: counts of short contexts; codes and n: all events of the others' longer contexts; third: counts behind
+    contexts of three bytes of which not all events are here, as (keys, counts).
+    """
 
-    def bits(self, codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def __init__(self, short: list[Counts], codes: np.ndarray, n: np.ndarray, third: tuple[np.ndarray, np.ndarray] | None = None, of: np.ndarray | None = None):
+        orders = list(short)
+        for k in range(len(short) + 1, ORDERS + 1):
+            keys, many = _key(codes, k), n
+            if k == 3 and third is not None and len(third[0]):
+                whole, first = np.unique(third[0], return_index=True)  # two parts of a context bring the same copies
+                apart = np.isin(keys >> np.uint64(8), np.unique(whole >> np.uint64(8)), invert=True)
+                keys, many = np.concatenate([whole, keys[apart]]), np.concatenate([third[1][first], n[apart]])
+            orders.append(Counts(keys, many))
+        self.codes = codes if of is None else of
+        self.totals = np.stack([c.totals(_key(self.codes, k + 1)) for k, c in enumerate(orders)])
+
+    def level(self) -> np.ndarray:
+        """How often the events' longest contexts were seen, by LEVELS."""
+        return np.digitize(self.totals[ORDERS - 1, 0], LEVELS).astype(np.int8)
+
+    def bits(self, some: np.ndarray | slice = slice(None)) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(the bit of each event, path before the bit, counts of 0 and 1 by order), for the eight bits of the events' bytes."""
-        totals = np.stack([c.totals(_key(codes, k + 1)) for k, c in enumerate(self.orders)])
-        byte = (codes & np.uint64(255)).astype(np.int64)
-        path = np.ones(len(codes), dtype=np.int64)
+        totals, byte = self.totals[:, :, some], (self.codes[some] & np.uint64(255)).astype(np.int64)
+        path = np.ones(len(byte), dtype=np.int64)
         for j in range(8):
             bit = byte >> (7 - j) & 1
             own, other = totals[:, j + 1], totals[:, j] - totals[:, j + 1]
@@ -214,42 +216,6 @@ class Nodes:
             path = path * 2 + bit
 
 
-def short_counts(events: DataFrame) -> list[Counts]:
-    """Counts of the contexts of up to SHORT bytes; of those there are at most 2^24 with a byte."""
-    last = events.groupBy(F.col("code").bitwiseAND(F.lit((1 << 8 * (SHORT + 1)) - 1)).alias("key")).agg(F.sum("n").alias("n")).toPandas()
-    keys, n = last["key"].to_numpy(np.int64).view(np.uint64), last["n"].to_numpy(np.float64)
-    return [Counts(_key(keys, k), n) for k in range(1, SHORT + 1)]
-
-
-def _by_context(rows: DataFrame) -> DataFrame:
-    """Rows with all of the counts that their longer contexts need in one partition, one behind another, and contexts in no order."""
-    near = F.shiftright("code", 8).bitwiseAND(F.lit((1 << 8 * (SHORT + 1)) - 1))
-    return rows.repartition(near).sortWithinPartitions(F.xxhash64(near), near)
-
-
-def _whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Batches of _by_context() joined and cut where a context ends."""
-    held, total, last = [], 0, None
-    for b in batches:
-        if not len(b):
-            continue
-        near = b["code"].to_numpy(np.int64) >> 8 & (1 << 8 * (SHORT + 1)) - 1
-        starts = np.flatnonzero(near != np.concatenate([near[:1] if last is None else [last], near[:-1]]))
-        last = near[-1]
-        if total + len(b) >= _CHUNK and len(starts):
-            yield pd.concat([*held, b[: starts[-1]]])
-            held, total = [], 0
-            b = b[starts[-1] :]
-        held.append(b)
-        total += len(b)
-    if held:
-        yield pd.concat(held)
-
-
-def _arrays(b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    return b["code"].to_numpy(np.int64).view(np.uint64), b["n"].to_numpy(np.float64)
-
-
 def _since(codes: np.ndarray) -> np.ndarray:
     """Bytes of the context behind its last separator."""
     out, open_ = np.zeros(len(codes), dtype=np.int64), np.ones(len(codes), dtype=bool)
@@ -264,35 +230,30 @@ def _level(total: np.ndarray) -> np.ndarray:
 
 
 class Mixer:
-    """Predicts bits from the counts; weights by gate, and the map that refines the mixed probability."""
+    """Predicts bits from counts: for each of MIXERS weights by gate, and the map that refines the mixed probability."""
 
-    def __init__(self, nodes: np.ndarray | Nodes | None = None):
-        self.nodes = HashedNodes(nodes) if isinstance(nodes, np.ndarray) else nodes
-        self.weights = np.zeros((GATES, ORDERS + 1))
-        self.weights[:, :ORDERS] = 1 / ORDERS
+    def __init__(self) -> None:
+        self.weights = np.zeros((len(MIXERS), GATES, ORDERS + 1))
+        for w, (_, longest) in zip(self.weights, MIXERS):
+            w[:, :longest] = 1 / longest
         centers = 1 / (1 + np.exp(-np.linspace(-LIMIT, LIMIT, BINS)))
-        self.map = np.tile(centers, (256, 1))
-
-    def at(self, nodes: Nodes) -> Mixer:
-        """This mixer over other counts."""
-        out = Mixer(nodes)
-        out.weights, out.map = self.weights, self.map
-        return out
+        self.map = np.tile(centers, (len(MIXERS), 256, 1))
 
-    def inputs(self, n: np.ndarray, bit: np.ndarray, since: np.ndarray, taken: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    @staticmethod
+    def inputs(n: np.ndarray, bit: np.ndarray, since: np.ndarray, taken: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
         """Log-odds of the orders with a constant, and gates; `taken` occurrences of the bit are left out of the counts n."""
         if taken:
+            n = n.copy()
             n[..., 0] = np.maximum(n[..., 0] - taken * (1 - bit), 0)
             n[..., 1] = np.maximum(n[..., 1] - taken * bit, 0)
         x = np.empty((ORDERS + 1, n.shape[1]))
         x[:ORDERS] = np.log((n[..., 1] + 0.4) / (n[..., 0] + 0.4))
         x[ORDERS] = 0.3
         total = n.sum(axis=2)
-        gate = (since * 5 + _level(total[4])) * 5 + _level(total[3])
-        return x, gate
+        return x, (since * 5 + _level(total[4])) * 5 + _level(total[3])
 
-    def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        return np.clip(np.einsum("ni,in->n", self.weights[gate], x), -LIMIT, LIMIT)
+    def mixed(self, m: int, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
+        return np.clip(np.einsum("ni,in->n", self.weights[m][gate], x), -LIMIT, LIMIT)
 
     @staticmethod
     def bins(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -300,64 +261,68 @@ class Mixer:
         low = np.minimum(at.astype(np.int64), BINS - 2)
         return low, at - low
 
-    def refined(self, z: np.ndarray, path: np.ndarray) -> np.ndarray:
+    def refined(self, m: int, z: np.ndarray, path: np.ndarray) -> np.ndarray:
         low, part = self.bins(z)
-        own = self.map[path, low] * (1 - part) + self.map[path, low + 1] * part
+        own = self.map[m, path, low] * (1 - part) + self.map[m, path, low + 1] * part
         return 0.5 * own + 0.5 / (1 + np.exp(-z))
 
-    def learn(self, codes: np.ndarray, n: np.ndarray) -> None:
-        """One online pass over events that occurred n times each."""
+    def learn(self, nodes: Nodes, n: np.ndarray) -> None:
+        """One online pass over the events of nodes, which occurred n times each, in the order of a hash."""
         power = np.full_like(self.weights, 1e-4)
-        for at in range(0, len(codes), BATCH):
-            many = n[at : at + BATCH]
-            since = _since(codes[at : at + BATCH])
-            for bit, _, counts in self.nodes.bits(codes[at : at + BATCH]):
-                x, gate = self.inputs(counts, bit, since, 1.0)
-                miss = many * (bit - 1 / (1 + np.exp(-self.mixed(x, gate))))
-                per = np.bincount(gate, weights=many, minlength=GATES)  # steps are means over a gate's events, whatever their counts
-                g = np.stack([np.bincount(gate, weights=miss * x[i], minlength=GATES) for i in range(ORDERS + 1)], axis=1) / np.maximum(per, 1)[:, None]
-                power += g * g
-                self.weights += STEP * g / np.sqrt(power)
-
-    def map_counts(self, codes: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """Weighted ones and all bits of each cell of the map, over events that occurred n times each."""
-        out = np.zeros((2, 256 * BINS))
-        for at in range(0, len(codes), 1 << 16):
-            since = _since(codes[at : at + (1 << 16)])
-            for bit, path, counts in self.nodes.bits(codes[at : at + (1 << 16)]):
-                x, gate = self.inputs(counts, bit, since, 1.0)
-                low, part = self.bins(self.mixed(x, gate))
-                cell, many = path * BINS + low, n[at : at + (1 << 16)]
-                for c, w in ((cell, many * (1 - part)), (cell + 1, many * part)):
-                    out[0] += np.bincount(c, weights=w * bit, minlength=256 * BINS)
-                    out[1] += np.bincount(c, weights=w, minlength=256 * BINS)
-        return out
-
-    def log10(self, codes: np.ndarray) -> np.ndarray:
-        """The log-probability of each event's byte."""
-        out = np.empty(len(codes))
-        for at in range(0, len(codes), 1 << 16):
-            total, since = 0.0, _since(codes[at : at + (1 << 16)])
-            for bit, path, counts in self.nodes.bits(codes[at : at + (1 << 16)]):
-                p = self.refined(self.mixed(*self.inputs(counts, bit, since)), path)
-                total = total + np.log10(np.where(bit == 1, p, 1 - p))
-            out[at : at + (1 << 16)] = total
+        order = np.argsort(nodes.codes * np.uint64(0x9E3779B97F4A7C15), kind="stable")
+        for at in range(0, len(order), BATCH):
+            some = order[at : at + BATCH]
+            many, since = n[some], _since(nodes.codes[some])
+            for bit, _, counts in nodes.bits(some):
+                made = {taken: self.inputs(counts, bit, since, taken) for taken in {m[0] for m in MIXERS}}
+                for m, (taken, longest) in enumerate(MIXERS):
+                    x, gate = made[taken]
+                    miss = many * (bit - 1 / (1 + np.exp(-self.mixed(m, x, gate))))
+                    per = np.bincount(gate, weights=many, minlength=GATES)  # steps are means over a gate's events, whatever their counts
+                    for i in [*range(longest), ORDERS]:
+                        g = np.bincount(gate, weights=miss * x[i], minlength=GATES) / np.maximum(per, 1)
+                        power[m, :, i] += g * g
+                        self.weights[m, :, i] += STEP * g / np.sqrt(power[m, :, i])
+
+    def map_counts(self, nodes: Nodes, n: np.ndarray) -> np.ndarray:
+        """Weighted ones and all bits of each cell of the maps, over the events of nodes, which occurred n times each."""
+        out, size = np.zeros((len(MIXERS), 2, 256 * BINS)), 256 * BINS
+        for at in range(0, len(n), 1 << 16):
+            some = slice(at, at + (1 << 16))
+            since, own = _since(nodes.codes[some]), n[some]
+            for bit, path, counts in nodes.bits(some):
+                made = {taken: self.inputs(counts, bit, since, taken) for taken in {m[0] for m in MIXERS}}
+                for m, (taken, _) in enumerate(MIXERS):
+                    low, part = self.bins(self.mixed(m, *made[taken]))
+                    cell = path * BINS + low
+                    for c, w in ((cell, own * (1 - part)), (cell + 1, own * part)):
+                        out[m, 0] += np.bincount(c, weights=w * bit, minlength=size)
+                        out[m, 1] += np.bincount(c, weights=w, minlength=size)
         return out
 
-    def scores(self, data: list[bytes]) -> np.ndarray:
-        out = np.zeros(len(data))
-        for owners, codes, sizes in _blocks(data):
-            own, place = np.unique(codes, return_inverse=True)
-            np.add.at(out, owners, np.add.reduceat(self.log10(own)[place], np.cumsum(sizes) - sizes))
+    def log10(self, nodes: Nodes) -> np.ndarray:
+        """Rows of every mixer's log-probability of each event's byte."""
+        out = np.zeros((len(MIXERS), len(nodes.codes)))
+        for at in range(0, len(nodes.codes), 1 << 16):
+            some = slice(at, at + (1 << 16))
+            since = _since(nodes.codes[some])
+            for bit, path, counts in nodes.bits(some):
+                x, gate = self.inputs(counts, bit, since)
+                for m in range(len(MIXERS)):
+                    p = self.refined(m, self.mixed(m, x, gate), path)
+                    out[m, some] += np.log10(np.where(bit == 1, p, 1 - p))
         return out
 
 
 class Known:
-    """Scores of the most frequent events."""
+    """Scores of the most frequent events: of each code its level and every mixer's log-probability."""
 
-    def __init__(self, codes: np.ndarray, values: np.ndarray):
+    def __init__(self, codes: np.ndarray, values: np.ndarray, level: np.ndarray):
         by = np.argsort(codes)
-        self.codes, self.values, self.slots = codes[by], values[by], None
+        self.codes, self.slots = codes[by], None
+        # one place more, for events that aren't known
+        self.values = np.concatenate([values[:, by], np.zeros((len(MIXERS), 1))], axis=1).astype(np.float32)
+        self.level = np.append(level[by], 0).astype(np.int8)
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"slots": None}
@@ -381,88 +346,146 @@ class Known:
         return at
 
     def scores(self, data: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-        """Sums over the known events of each text; its other events and how often it has them."""
-        out = np.zeros(len(data))
+        """Sums over the known events of each text, by level and mixer; its other events and how often it has them."""
+        levels = len(LEVELS) + 1
+        out = np.zeros((len(data), levels, len(MIXERS)))
         rest: list[list[np.ndarray]] = [[] for _ in data]
         for owners, codes, sizes in _blocks(data):
             at = self.find(codes)
-            starts, known = np.cumsum(sizes) - sizes, at >= 0
-            if len(self.codes):
-                np.add.at(out, owners, np.add.reduceat(np.where(known, self.values[at], 0.0), starts))
-            lost = np.flatnonzero(~known)
-            owner = np.searchsorted(starts, lost, side="right") - 1
+            cell = np.repeat(np.arange(len(owners)) * levels, sizes) + self.level[at]
+            for m in range(len(MIXERS)):
+                sums = np.bincount(cell, weights=self.values[m][at], minlength=len(owners) * levels)
+                np.add.at(out[:, :, m], owners, sums.reshape(-1, levels))
+            lost = np.flatnonzero(at < 0)
+            owner = np.searchsorted(np.cumsum(sizes) - sizes, lost, side="right") - 1
             bounds = np.searchsorted(owner, np.arange(len(owners) + 1))
             for k, text in enumerate(owners):
                 if bounds[k] < bounds[k + 1]:
                     rest[text].append(codes[lost[bounds[k] : bounds[k + 1]]])
         pairs = [np.unique(np.concatenate(r), return_counts=True) if r else (np.zeros(0, np.uint64), np.zeros(0, np.int64)) for r in rest]
-        return out, [p[0].view(np.int64) for p in pairs], [p[1] for p in pairs]
+        return out.reshape(len(data), -1), [p[0].view(np.int64) for p in pairs], [p[1] for p in pairs]
+
+
+def online(sums: list[list[Column]]) -> Column:
+    """The log-probability of a text under online mixing, from the sums of its bytes' log-probabilities by level and mixer."""
+    total = F.lit(0.0)
+    for own in sums:
+        most = F.greatest(*own)
+        total = total + most + F.log10(sum((F.pow(F.lit(10.0), s - most) for s in own), F.lit(0.0)) / len(own))
+    return total
+
+
+def sharded(events: DataFrame) -> DataFrame:
+    """(shard, codes, n, third, third_n): the events (code, n) in one row a shard, little-endian arrays sorted by code."""
+    total = events.count()
+    near, near_4 = F.shiftright("code", 8).bitwiseAND(F.lit((1 << 24) - 1)), F.shiftright("code", 8).bitwiseAND(F.lit((1 << 32) - 1))
+    # 2^16 rows at most
+    hot = events.groupBy(near.alias("near")).agg(F.count("*").alias("m")).where(F.col("m") > max(HOT, total >> 16)).select("near", F.lit(True).alias("hot"))
+    keyed = events.select("code", "n", near.alias("near")).join(F.broadcast(hot), "near", "left")
+    keyed = keyed.withColumn("key", F.when(F.col("hot"), near_4 + (1 << 32)).otherwise(F.col("near")))
+    heated = keyed.where("hot")
+    third = heated.groupBy("near", F.col("code").bitwiseAND(F.lit((1 << 32) - 1)).alias("code")).agg(F.sum("n").alias("n"))
+    copies = heated.select("near", "key").distinct().join(third, "near").select("key", "code", "n", F.lit(True).alias("copy"))
+    shards = -(-total // SHARD) or 1
+    rows = keyed.select("key", "code", "n", F.lit(False).alias("copy")).union(copies)
+    rows = rows.select(F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard"), "code", "n", "copy")
+
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+
+        def row() -> pd.DataFrame:
+            b = pd.concat(held).sort_values(["copy", "code"])
+            own, third = b[~b["copy"]], b[b["copy"]]
+            raw = lambda c, kind: c.to_numpy(kind).tobytes()
+            return pd.DataFrame({"shard": [b["shard"].iloc[0]], "codes": [raw(own["code"], "<i8")], "n": [raw(own["n"], "<f8")], "third": [raw(third["code"], "<i8")], "third_n": [raw(third["n"], "<f8")]})
+
+        for b in batches:
+            for shard, some in b.groupby("shard", sort=False):
+                if held and held[0]["shard"].iloc[0] != shard:
+                    yield row()
+                    held.clear()
+                held.append(some)
+        if held:
+            yield row()
+
+    partitions = min(shards, max(int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")), shards // 64))
+    rows = rows.repartition(partitions, "shard").sortWithinPartitions("shard")
+    return cut(rows.mapInPandas(packed, "shard bigint, codes binary, n binary, third binary, third_n binary"), "shards")
+
+
+def _opened(batches: Iterator[pd.DataFrame], short: list[Counts]) -> Iterator[tuple[Nodes, np.ndarray]]:
+    for b in batches:
+        for codes, n, third, third_n in zip(b["codes"], b["n"], b["third"], b["third_n"]):
+            codes, n = np.frombuffer(codes, "<u8"), np.frombuffer(n, "<f8")
+            yield Nodes(short, codes, n, (np.frombuffer(third, "<u8"), np.frombuffer(third_n, "<f8"))), n
 
 
-def train(events: DataFrame) -> tuple[Mixer, list[Counts]]:
-    """The mixer of (code, n), and the counts of short contexts. Each partition learns weights online over its events; they are averaged by events."""
+def train(events: DataFrame, shards: DataFrame) -> tuple[Mixer, list[Counts]]:
+    """The mixers of (code, n) and of their shards, and the counts of short contexts."""
     spark = events.sparkSession
-    short, mixer = short_counts(events), Mixer()
-    shared = spark.sparkContext.broadcast(short)  # at most 2^24 counts
-
-    def weights(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, events_seen = Mixer(), 0
-        for b in _whole(batches):
-            codes, n = _arrays(b)
-            own.nodes = Nodes(shared.value, codes, n)
-            by = np.argsort(codes * np.uint64(0x9E3779B97F4A7C15), kind="stable")
-            own.learn(codes[by], n[by])
-            events_seen += len(codes)
-        if events_seen:
-            yield pd.DataFrame({"w": [own.weights.ravel()], "n": [float(events_seen)]})
+    # at most 2^24 counts
+    last = events.where("n > 0").groupBy(F.col("code").bitwiseAND(F.lit((1 << 8 * (SHORT + 1)) - 1)).alias("key")).agg(F.sum("n").alias("n")).toPandas()
+    keys, n = last["key"].to_numpy(np.int64).view(np.uint64), last["n"].to_numpy(np.float64)
+    short, mixer = [Counts(_key(keys, k), n) for k in range(1, SHORT + 1)], Mixer()
+    for _ in range(EPOCHS):
+        shared = spark.sparkContext.broadcast((short, mixer))
+
+        def weights(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            short, start = shared.value
+            total, seen = np.zeros(start.weights.size), 0
+            for nodes, n in _opened(batches, short):
+                own = Mixer()
+                own.weights = start.weights.copy()
+                own.learn(nodes, n)
+                many = np.count_nonzero(n)
+                total, seen = total + many * own.weights.ravel(), seen + many
+            if seen:
+                yield pd.DataFrame({"cell": np.arange(len(total)), "w": total, "n": float(seen)})
+
+        found = shards.mapInPandas(weights, "cell int, w double, n double").groupBy("cell").agg((F.sum("w") / F.sum("n")).alias("w")).toPandas()
+        shared.destroy()
+        if len(found):
+            mixer.weights = found.sort_values("cell")["w"].to_numpy().reshape(mixer.weights.shape)
+    shared = spark.sparkContext.broadcast((short, mixer))
 
     def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((2, 256 * BINS))
-        for b in _whole(batches):
-            codes, n = _arrays(b)
-            total += learnt.value.at(Nodes(shared.value, codes, n)).map_counts(codes, n)
-        some = np.flatnonzero(total[1])
-        yield pd.DataFrame({"cell": some, "ones": total[0, some], "n": total[1, some]})
-
-    near = _by_context(events)
-    found = near.mapInPandas(weights, "w array<double>, n double").collect()
-    if found:
-        mixer.weights = np.average([r["w"] for r in found], axis=0, weights=[r["n"] for r in found]).reshape(mixer.weights.shape)
-    learnt = spark.sparkContext.broadcast(mixer)
-    counted = near.mapInPandas(cells, "cell int, ones double, n double").groupBy("cell").agg(F.sum("ones").alias("ones"), F.sum("n").alias("n")).collect()
+        short, mixer = shared.value
+        total = np.zeros((len(MIXERS), 2, 256 * BINS))
+        for nodes, n in _opened(batches, short):
+            total += mixer.map_counts(nodes, n)
+        m, some = np.nonzero(total[:, 1])
+        yield pd.DataFrame({"m": m, "cell": some, "ones": total[m, 0, some], "n": total[m, 1, some]})
+
+    counted = shards.mapInPandas(cells, "m int, cell int, ones double, n double").groupBy("m", "cell").agg(F.sum("ones").alias("ones"), F.sum("n").alias("n")).collect()
     shared.destroy()
-    learnt.destroy()
     for r in counted:
         path, low = divmod(r["cell"], BINS)
-        mixer.map[path, low] = (r["ones"] + 20 * mixer.map[path, low]) / (r["n"] + 20)
+        mixer.map[r["m"], path, low] = (r["ones"] + 20 * mixer.map[r["m"], path, low]) / (r["n"] + 20)
     mixer.map = np.clip(mixer.map, 1e-5, 1 - 1e-5)
     return mixer, short
 
 
-def event_scores(events: DataFrame, wanted: DataFrame, mixer: Mixer, short: list[Counts]) -> DataFrame:
-    """(code, s): the log-probability of every code of wanted under the counts of all events."""
-    spark = events.sparkSession
-    shared = spark.sparkContext.broadcast((mixer, short))
+_SCORES = [f"s{m}" for m in range(len(MIXERS))]
+
+
+def event_scores(shards: DataFrame, mixer: Mixer, short: list[Counts]) -> DataFrame:
+    """(code, n, tier, s0, s1, ...): the level and the log-probabilities of every event of the shards."""
+    shared = shards.sparkSession.sparkContext.broadcast((mixer, short))
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         mixer, short = shared.value
-        for b in _whole(batches):
-            asked = b["n"].isna().to_numpy()
-            if asked.any():
-                codes = np.sort(b["code"].to_numpy(np.int64)[asked])
-                s = mixer.at(Nodes(short, *_arrays(b[~asked]))).log10(codes.view(np.uint64))
-                for at in range(0, len(codes), 100_000):
-                    yield pd.DataFrame({"code": codes[at : at + 100_000], "s": s[at : at + 100_000]})
+        for nodes, n in _opened(batches, short):
+            s = mixer.log10(nodes).astype(np.float32)
+            yield pd.DataFrame({"code": nodes.codes.view(np.int64), "n": n.astype(np.int64), "tier": nodes.level()} | dict(zip(_SCORES, s)))
 
-    rows = events.select("code", "n").unionByName(wanted.select("code", F.lit(None).cast("bigint").alias("n")))
-    out = cut(_by_context(rows).mapInPandas(of, "code bigint, s double"), "event-scores")
+    out = cut(shards.mapInPandas(of, "code bigint, n bigint, tier byte, " + ", ".join(f"{s} float" for s in _SCORES)), "event-scores")
     shared.destroy()
     return out
 
 
 def _head(rows: DataFrame, count: str, most: int) -> DataFrame:
     """The rows of the greatest counts, `most` at most; rows of nearly one count are in or out together."""
-    level = F.floor(F.log2(count) * 1024)  # some ten thousand levels at most
+    level = F.floor(F.log2(F.col(count) + 1) * 1024)  # some ten thousand levels at most
     ranked = rows.withColumn("level", level)
     least, total = None, 0
     for r in ranked.groupBy("level").agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect():
@@ -473,25 +496,26 @@ def _head(rows: DataFrame, count: str, most: int) -> DataFrame:
     return ranked.where(F.col("level") >= least if least is not None else F.lit(False)).drop("level")
 
 
-def score_texts(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Scores of every text of docs under what training says.
+def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Scores of every text of docs under what those rows say where `learn` is true.
 
     Columns: doc_id, those of `keep`, n_tokens, n_known, train_tokens, base_score, score, total_bits, bits_per_byte.
     """
     spark = docs.sparkSession
-    counts = cut(corpus_counts(training, text_col), "counts")
+    counts = cut(corpus_counts(docs, text_col, learn), "counts")
     words = cut(counts.where("word is not null").groupBy("word").agg(F.sum("n").alias("c")), "words")
     events = cut(counts.where("code is not null").groupBy("code").agg(F.sum("n").alias("n")), "events")
     n_all, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     ends = (words.where("word = ''").first() or {"c": 0})["c"]
     top = _head(words.where("word != ''"), "c", HEAD).toPandas()
-    mixer, short = train(events)
-    common = event_scores(events, _head(events, "n", EVENT_HEAD), mixer, short).toPandas()
-    known = Known(common["code"].to_numpy(np.int64).view(np.uint64), common["s"].to_numpy(np.float64))
+    shards = sharded(events)
+    scores = event_scores(shards, *train(events, shards))
+    common = _head(scores, "n", EVENT_HEAD).toPandas()
+    known = Known(common["code"].to_numpy(np.int64).view(np.uint64), common[_SCORES].to_numpy(np.float64).T, common["tier"].to_numpy(np.int64))
     head = {w.encode("utf-8"): x for w, x in zip(top["word"], np.log10(top["c"].to_numpy(np.float64) + 1))}
     shared = spark.sparkContext.broadcast((head, known))  # HEAD words, EVENT_HEAD events
 
-    @F.pandas_udf("n_words bigint, n_head bigint, head_log double, n_bytes bigint, score double, tail array<string>, tail_n array<bigint>, codes array<bigint>, codes_n array<bigint>")
+    @F.pandas_udf("n_words bigint, n_head bigint, head_log double, n_bytes bigint, sums array<double>, tail array<string>, tail_n array<bigint>, codes array<bigint>, codes_n array<bigint>")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         head, known = shared.value
         for texts in in_parts(batches):
@@ -507,8 +531,9 @@ def score_texts(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", te
                         log += k * x
                 rows.append((len(own), len(own) - sum(tail_n), log, len(d), tail, tail_n))
             out = pd.DataFrame(rows, columns=["n_words", "n_head", "head_log", "n_bytes", "tail", "tail_n"])
-            score, out["codes"], out["codes_n"] = known.scores(data)
-            out.insert(4, "score", score)
+            sums, codes, codes_n = known.scores(data)
+            out.insert(4, "sums", list(sums))
+            out["codes"], out["codes_n"] = codes, codes_n
             yield out
 
     scored = docs.select(F.col(id_col).alias("doc_id"), *keep, F.monotonically_increasing_id().alias("row"), of(F.coalesce(F.col(text_col), F.lit(""))).alias("r"))
@@ -517,18 +542,22 @@ def score_texts(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", te
     rare = scored.select("row", F.explode(F.arrays_zip("tail", "tail_n")).alias("t")).select("row", F.col("t.tail").alias("word"), F.col("t.tail_n").alias("k"))
     met = rare.join(words, "word").groupBy("row").agg(F.sum("k").alias("n_tail"), F.sum(F.col("k") * F.log10(F.col("c") + 1)).alias("tail_log"))
     others = scored.select("row", F.explode(F.arrays_zip("codes", "codes_n")).alias("t")).select("row", F.col("t.codes").alias("code"), F.col("t.codes_n").alias("k"))
-    found = event_scores(events, others.select("code").distinct(), mixer, short)
-    behind = others.join(found, "code").groupBy("row").agg(F.sum(F.col("k") * F.col("s")).alias("rest"))
+    cells = [(level, s) for level in range(len(LEVELS) + 1) for s in _SCORES]
+    rest = [F.sum(F.when(F.col("tier") == level, F.col("k") * F.col(s).cast("double"))).alias(f"rest_{level}_{s}") for level, s in cells]
+    behind = others.join(scores.drop("n"), "code").groupBy("row").agg(*rest)
     n_tokens = F.col("n_words") + 1
     base = F.col("head_log") + F.coalesce("tail_log", F.lit(0.0)) + float(np.log10(ends + 1)) - n_tokens * float(np.log10(n_all + v + 1))
-    score = F.col("score") + F.coalesce("rest", F.lit(0.0))
-    bits = score * float(-np.log2(10))
-    return scored.join(met, "row", "left").join(behind, "row", "left").select(
+    sums = [F.col("sums")[i] + F.coalesce(f"rest_{level}_{s}", F.lit(0.0)) for i, (level, s) in enumerate(cells)]
+    each = len(MIXERS)
+    out = scored.join(met, "row", "left").join(behind, "row", "left").select(
         "doc_id", *keep, n_tokens.alias("n_tokens"), (F.col("n_head") + F.coalesce("n_tail", F.lit(0)) + int(ends > 0)).alias("n_known"), F.lit(int(n_all)).cast("bigint").alias("train_tokens"),
-        base.alias("base_score"), score.alias("score"), bits.alias("total_bits"), (bits / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"),
+        base.alias("base_score"), online([sums[at : at + each] for at in range(0, len(sums), each)]).alias("score"), "n_bytes",
     )
+    bits = F.col("score") * float(-np.log2(10))
+    return out.select(*out.columns[:-1], bits.alias("total_bits"), (bits / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"))
 
 
 def op5_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents, learning from those that aren't held out."""
     docs = table(spark, sf_dir, "documents").withColumn("held_out", remainder(F.col("doc_id"), 7) == 2)
-    return score_texts(docs, docs.where(~F.col("held_out")), keep=("held_out",))
+    return score_texts(docs, ~F.col("held_out"), keep=("held_out",))
