@@ -28,3 +28,18 @@ FOLLOWERS = ("says", "said", "talk", "talked", "writes", "wrote", "plays", "play
 PLACE_BEFORE = ("the", "in", "on", "at")
 PLACE_AFTER = ("avenue", "city", "street", "st", "ave", "town", "village")
 PLACE_WORDS = ("theater", "theaters", "theatre", "theatres", "studio", "studios", "hotel", "bank", "cinema", "cinemas", "west", "east", "north", "south", "western", "eastern", "northern", "southern", "conference", "festival")
+LIST_WORDS = (",", "and", "or", "/")
+PUNCTUATION_TITLES = ("Dr.", "Esq.", "Hon.", "Jr.", "Mr.", "Mrs.", "Ms.", "Messrs.", "Mmes.", "Msgr.", "Prof.", "Rev.", "Rt. Hon.", "Sr.", "St.", "Sen.", "Sens.")
+# Names of organisations, clubs and places that are never a person's, in either case. A longer list of exact spans is a parameter.
+ORGANISATIONS = (
+    "Capcom", "New York Times", "NFL", "NASA", "JPL", "Malin Space Science Systems", "SpaceX", "White House", "Sony", "Disney", "Walt Disney", "Touchstone", "Oscars", "Sundance", "Variety",
+    "Atlantic", "Instagram", "Facebook", "Twitter",
+)
+CLUBS = (
+    "West Bromwich Albion", "Manchester City", "Crystal Palace", "Sevilla", "Östersund", "Arsenal", "Liverpool", "Norwich City", "Red Star Belgrade", "St Johnstone", "Patriots", "Seahawks",
+    "Oakland Raiders", "Dallas Cowboys", "New York Giants", "Eagles",
+)
+LOCATIONS = (
+    "Seattle", "Philadelphia", "New Orleans", "Minnesota", "San Francisco", "Cleveland", "Arizona", "Denver", "Pyeongchang", "Seoul", "Tokyo", "Cannes", "Festival", "New York", "Washington DC",
+    "America", "Britain", "Ireland", "California", "Galapagos", "Galapagos Islands",
+)

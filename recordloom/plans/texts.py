@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from recordloom.functions import money as M
 from recordloom.functions import text as T
-from recordloom.functions import words as W
 from recordloom.plans.tables import table
 from recordloom.sources import files, web
 
@@ -31,48 +30,7 @@ def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text", T.tokens(F.col("text")).alias("words"))
 
 
-_LISTED = lambda words: "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + ")"
 _W = r"(SELECT doc_id, text, list_filter(string_split_regex(text, '\s+'), lambda w: w <> '') AS words FROM documents)"
-_SPANS = f"""
-runs AS (SELECT doc_id, len(words) AS size, words, unnest(range(0, len(words))) AS start FROM {_W}),
-cut AS (SELECT doc_id, start, start + n AS "end", array_to_string(words[start + 1 : start + n], ' ') AS span, CASE WHEN start > 0 THEN words[start] END AS before, CASE WHEN start + n < size THEN words[start + n + 1] END AS after, words[start + 1 : start + n] AS parts
-  FROM runs, (SELECT unnest(range(1, 5)) AS n) WHERE start + n <= size),
-candidates AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start, "end") - 1 AS string_id FROM cut
-  WHERE len(list_filter(parts, lambda w: NOT (regexp_matches(w, '\\p{{Lu}}') OR w IN {_LISTED(W.PARTICLES)} OR (starts_with(w, '''') AND w <> '''s')))) = 0
-    AND NOT regexp_matches(span, '[^\\p{{L}}\\p{{N}}\\s.''\\-]') AND len(list_filter(parts, lambda w: w IN {_LISTED(W.COMMON_WORDS)})) = 0)
-"""
-
-
-@query(f"""WITH {_SPANS} SELECT doc_id, ("end" - start)::INTEGER AS n_words, count(*) AS n, count(DISTINCT span) AS n_distinct, max(string_id)::INTEGER AS last_id FROM candidates GROUP BY 1, 2""")
-def ngram_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = T.candidates(_words(spark, sf_dir), "doc_id")
-    return found.groupBy("doc_id", (F.col("end") - F.col("start")).alias("n_words")).agg(F.count("*").alias("n"), F.count_distinct("span").alias("n_distinct"), F.max("string_id").alias("last_id"))
-
-
-_PREFIX = f"(before IN {_LISTED(W.TITLE_PREFIXES)} OR lower(before) IN {_LISTED((*W.OCCUPATIONS, *W.PREFIX_VERBS))})"
-
-
-@query(f"""WITH {_SPANS}, f AS (SELECT doc_id,
-  coalesce({_PREFIX}, FALSE) AS prefixed, coalesce(lower(after) IN {_LISTED(W.FOLLOWERS)}, FALSE) AS suffixed,
-  coalesce(before IS NOT NULL AND after IS NOT NULL AND (lower(before) IN {_LISTED(W.PLACE_BEFORE)} OR lower(after) IN {_LISTED(W.PLACE_AFTER)} OR len(list_filter(parts, lambda w: lower(w) IN {_LISTED(W.PLACE_WORDS)})) > 0), FALSE) AS other_entity,
-  coalesce((regexp_matches(before[1:1], '\\p{{Lu}}') AND NOT {_PREFIX}) OR regexp_matches(after[1:1], '\\p{{Lu}}'), FALSE) AS near_capitalized,
-  parts[-1] IN {_LISTED(W.NAME_SUFFIXES)} AS name_suffix FROM candidates)
-SELECT doc_id, count(*) AS n, count_if(prefixed)::BIGINT AS prefixed, count_if(suffixed)::BIGINT AS suffixed, count_if(other_entity)::BIGINT AS other_entity, count_if(near_capitalized)::BIGINT AS near_capitalized, count_if(name_suffix)::BIGINT AS name_suffix FROM f GROUP BY doc_id""")
-def span_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = T.features(T.candidates(_words(spark, sf_dir), "doc_id"))
-    return found.groupBy("doc_id").agg(F.count("*").alias("n"), *(F.sum(c).cast("bigint").alias(c) for c in ("prefixed", "suffixed", "other_entity", "near_capitalized", "name_suffix")))
-
-
-@query(f"""WITH g AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS word FROM benchmark), {_SPANS},
-hits AS (SELECT DISTINCT doc_id, string_id FROM (SELECT doc_id, string_id, unnest(parts) AS word FROM candidates) JOIN g USING (word)),
-h AS (SELECT doc_id, count(*) AS n FROM hits GROUP BY doc_id), a AS (SELECT doc_id, count(*) AS n FROM candidates GROUP BY doc_id)
-SELECT a.doc_id, a.n, (2 * coalesce(h.n, 0))::BIGINT AS flags FROM a LEFT JOIN h USING (doc_id)""")
-def gazetteer_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", " ")).alias("word"))
-    found = T.candidates(_words(spark, sf_dir), "doc_id").select("doc_id", "string_id", "span")
-    return T.gazetteer_flags(found, words).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("in_gazetteer").cast("bigint").alias("flags"))
-
-
 @query(f"SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(words) AS word FROM {_W}) GROUP BY doc_id, word")
 def token_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _words(spark, sf_dir).select("doc_id", F.explode("words").alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("n"))

@@ -21,10 +21,21 @@ def values(spark, column, rows, schema):
 
 
 def test_tokens_stay_whole_or_split(spark):
-    got = values(spark, T.split_tokens(F.col("t")), [("Dr. Smith's dog (U.S.) ran, J. said.",), ("<pname>Ann Lee</pname>, too",), ("",), (None,)], "t string")
-    assert got[0] == ["Dr.", "Smith's", "dog", "(", "U.S.", ")", "ran", ",", "J.", "said", "."]
-    assert got[1] == ["<pname>Ann Lee</pname>", ",", "too"]
-    assert got[2] == [] and got[3] is None
+    """By the ordered rules: a title, initial or U.S. stays whole only where it is all that is left of a word."""
+    cases = {
+        "Dr. Smith's dog ran, J. said.": ["Dr.", "Smith", "'s", "dog", "ran", ",", "J.", "said", "."],
+        "U.S. (U.S.) (Dr.": ["U.S.", "(", "U", ".", "S", ".", ")", "(", "Dr."],
+        "<pname>Ann Lee</pname>, too": ["<pname>Ann", "Lee</pname>", ",", "too"],
+        "said.<pname>Bo</pname> (<pname>Al</pname>)": ["said", ".", "<pname>Bo</pname>", "(", "<pname>Al</pname>", ")"],
+        "</pname>x <pname>open": ["x", "<pname>open"],
+        "3.14 -2e5 1,000 a.5 .5": ["3.14", "-2e5", "1", ",", "000", "a", ".", "5", ".5"],
+        "x-ray Billings-Ladson Jean-Luc-Paul Al-Hassan's": ["x", "-", "ray", "Billings-Ladson", "Jean", "-", "Luc-Paul", "Al-Hassan's"],
+        "O'Neils O'Neil 's 'cats' don't": ["O", "'Neils", "O'Neil", "'s", "'cats'", "don't"],
+        "Élodie's 第一章 …": ["Élodie", "'s", "第一章", "…"],
+        "": [],
+    }
+    got = values(spark, T.split_tokens(F.col("t")), [(t,) for t in cases] + [(None,)], "t string")
+    assert dict(zip(cases, got)) == cases and got[-1] is None
 
 
 def test_tags(spark):
@@ -45,10 +56,38 @@ def test_maximal_spans(spark):
     assert sorted(map(tuple, got)) == [(1, 0, 2), (1, 5, 8), (1, 7, 9), (2, 0, 1)]
 
 
-def test_neighbour_and_candidate_edges(spark):
+def test_neighbour_edges(spark):
     docs = spark.createDataFrame([(1, ["Ann", "Lee", "ran"]), (2, []), (3, None)], "doc_id int, words array<string>")
     assert [tuple(r) for r in T.neighbours(docs, "doc_id").orderBy("pos").collect()] == [(1, 0, "Ann", None, None, "Lee", "ran"), (1, 1, "Lee", None, "Ann", "ran", None), (1, 2, "ran", "Ann", "Lee", None, None)]
-    assert [(r["string_id"], r["span"]) for r in T.candidates(docs, "doc_id").orderBy("string_id").collect()] == [(0, "Ann"), (1, "Ann Lee"), (2, "Lee")]
+
+
+def test_candidates(spark):
+    rows = [(1, "Said Director Ann Lee, and Bob O'Neil-Smith (NASA) in New York. The Rock was <pname>John</pname> Smith/Ann at Home Jr. too"), (2, ""), (3, None), (4, "by Ann, Lee")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    rows = T.candidates(docs, "doc_id", blacklist=("Lee",)).collect()
+    found = {(r["doc_id"], r["string"], sum(x["string"] == r["string"] and x["doc_id"] == r["doc_id"] and x["start_index"] < r["start_index"] for x in rows)): r for r in rows}
+    strings = {k[1] for k in found if k[0] == 1}
+    assert {"The Rock", "Rock", "Bob O'Neil-Smith", "John", "Home Jr.", "Director Ann Lee"} <= strings  # spans with a common word inside stay
+    assert not strings & {"NASA", "New York", "The", "Said", "Lee", "(", "Smith / Ann"}
+    assert found[1, "John", 0]["class_label"] == 1 and sum(r["class_label"] for r in found.values()) == 1
+    ann = found[1, "Ann", 0]
+    assert ann["prefixed"] == 1 and ann["near_capitalized"] == 1 and ann["frequency"] == 2 and ann["is_proper_noun"] == 1
+    assert found[1, "Rock", 0]["other_entity"] == 1 and found[1, "The Rock", 0]["other_entity"] == 0 and found[1, "Bob O'Neil-Smith", 0]["near_parentheses"] == 1
+    assert found[1, "Smith", 0]["in_name_list"] == 1 and found[1, "Home Jr.", 0]["name_suffix"] == 1 and found[1, "The Rock", 0]["common_word"] == 1
+    assert [r["string_id"] for r in rows if r["doc_id"] == 4] == [0] and not any(k[0] in (2, 3) for k in found)
+
+
+def test_punctuation_prunes_in_order(spark):
+    rows = [("Ann @ Lee",), ("Dr. Lee",), ("O'Neil @",), ("@ O'Neil",), ("Lee @ Jr.",), ("Ann-Lee",), ("J. Lee",)]
+    assert values(spark, T.pruned_punctuation(F.col("t")), rows, "t string") == [True, True, False, False, False, False, False]
+
+
+def test_gazetteers(spark):
+    found = spark.createDataFrame([(1, 0, "Ann Lee", 0), (1, 1, "The Rock", 0), (2, 0, "Bo", 1)], "doc_id int, string_id int, string string, other_entity int")
+    of = lambda *words: spark.createDataFrame([(w,) for w in words], "word string")
+    got = T.gazetteer_flags(found, {"first": of("Ann", "Bo", None), "last": of("Lee")}, ["doc_id", "string_id"])
+    assert sorted((r["string"], r["first"], r["last"]) for r in got.collect()) == [("Ann Lee", 2, 2), ("Bo", 2, 0), ("The Rock", 0, 0)]
+    assert sorted((r["string"], r["other_entity"]) for r in T.title_flags(found, of("The Rock", "Rock")).collect()) == [("Ann Lee", 0), ("Bo", 1), ("The Rock", 1)]
 
 
 @pytest.mark.parametrize("a,b,want", [(None, "-5", "5"), ("-7", None, "7"), (None, None, None), ("$10", "$13", "$12"), ("$11", "$14", "$12"), ("€5", "$9", "$9"), ("€5", "£9", "€5"), ("$4", "-9", "$4")])
