@@ -11,11 +11,10 @@ There are three mixers: one for text that the corpus doesn't hold, learnt with o
 occurrence of each event left out of the counts; one for text that it holds, learnt
 without; and one of the short contexts alone, for text unlike the corpus. Each text
 is scored online: it starts with even odds for the mixers, and after every byte
-their odds are multiplied by what they gave the byte, with separate odds for
-each level of how often the byte's context was seen. A byte's probability is the mean
-over the mixers by the odds so far. The products telescope, so that
-a text's probability comes from the sums of its bytes' log-probabilities by mixer
-and level, in any order (online()); it depends on the text and the model alone.
+their odds are multiplied by what they gave the byte. A byte's probability is the
+mean over the mixers by the odds so far. The products telescope, so that a text's
+probability comes from the sums of its bytes' log-probabilities by mixer, in
+any order (online()); it depends on the text and the model alone.
 
 An event is a byte with the five before it. What the corpus says is the count
 of each event, over all training text; bit counts, weights and maps are all
@@ -56,7 +55,7 @@ ORDERS = 5
 #: Words whose counts are broadcast at most.
 HEAD = 1 << 17
 #: Events whose scores are broadcast at most.
-EVENT_HEAD = 1 << 18
+EVENT_HEAD = 1 << 19
 #: Bytes of a context whose counts are broadcast; one more and the counts stay in their shard.
 SHORT = 2
 #: Events of a shard, about; events of a context of three bytes from which it is dealt by four.
@@ -65,13 +64,12 @@ SHARD, HOT = 1 << 16, 1 << 12
 GATES = 6 * 5 * 5
 #: Occurrences left out of the counts, and longest context, of each mixer.
 MIXERS = ((1.0, 5), (0.0, 5), (1.0, 3))
-#: Levels of how often a byte's context was seen, each with odds of its own in a text.
-LEVELS = (0.5, 3.5)
 BINS, LIMIT = 33, 8.0
 STEP, BATCH, EPOCHS = 0.05, 4096, 2
 _SLOTS = 21
-#: Bytes that are looked at together.
+#: Bytes that are looked at together; events whose counts a worker holds back before it merges them, and passes them on.
 _BLOCK = 1 << 21
+_RAW, _HELD = 1 << 22, 4_000_000
 
 
 def _events(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -124,24 +122,30 @@ def corpus_counts(docs: DataFrame, text_col: str, learn: Column) -> DataFrame:
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words: Counter[bytes] = Counter()
+        raw: dict[bool, list[np.ndarray]] = {True: [], False: []}
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            codes, place = np.unique(np.concatenate([p[0] for p in held]), return_inverse=True)
-            return codes, np.bincount(place, weights=np.concatenate([p[1] for p in held])).astype(np.int64)
+        def counted(learnt: bool) -> None:
+            if raw[learnt]:
+                codes, n = np.unique(np.concatenate(raw[learnt]), return_counts=True)
+                held.append((codes, n if learnt else np.zeros(len(codes), np.int64)))
+                raw[learnt].clear()
 
         def out() -> Iterator[pd.DataFrame]:
+            counted(True)
+            counted(False)
             if words:
                 yield pd.DataFrame({"word": [w.decode("utf-8", "replace") for w in words], "code": pd.array([None] * len(words), dtype="Int64"), "n": list(words.values())})
             if held:
-                codes, n = merged()
+                codes, place = np.unique(np.concatenate([p[0] for p in held]), return_inverse=True)
+                n = np.bincount(place, weights=np.concatenate([p[1] for p in held])).astype(np.int64)
                 for at in range(0, len(codes), 100_000):
                     some = codes[at : at + 100_000].view(np.int64)
                     yield pd.DataFrame({"word": pd.Series([None] * len(some), dtype=object), "code": pd.array(some, dtype="Int64"), "n": n[at : at + 100_000]})
             words.clear()
             held.clear()
 
-        for b in in_parts(batches):
+        for b in in_parts(batches, 1024):
             for learnt in (True, False):
                 data = [_lower(t) for t in b["text"][b["learn"].to_numpy(bool) == learnt]]
                 if learnt and data:
@@ -149,11 +153,10 @@ def corpus_counts(docs: DataFrame, text_col: str, learn: Column) -> DataFrame:
                         words.update(d.split())
                     words[b""] += len(data)
                 for _, codes, _ in _blocks(data):
-                    own, n = np.unique(codes, return_counts=True)
-                    held.append((own, n if learnt else np.zeros(len(own), np.int64)))
-                    if len(held) > 8:
-                        held[:] = [merged()]
-            if len(words) > 400_000 or sum(len(p[0]) for p in held) > 2_000_000:
+                    raw[learnt].append(codes)
+                    if sum(map(len, raw[learnt])) > _RAW:
+                        counted(learnt)
+            if len(words) > 400_000 or sum(len(p[0]) for p in held) > _HELD:
                 yield from out()
         yield from out()
 
@@ -201,10 +204,6 @@ class Nodes:
         self.codes = codes if of is None else of
         self.totals = np.stack([c.totals(_key(self.codes, k + 1)) for k, c in enumerate(orders)])
 
-    def level(self) -> np.ndarray:
-        """How often the events' longest contexts were seen, by LEVELS."""
-        return np.digitize(self.totals[ORDERS - 1, 0], LEVELS).astype(np.int8)
-
     def bits(self, some: np.ndarray | slice = slice(None)) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(the bit of each event, path before the bit, counts of 0 and 1 by order), for the eight bits of the events' bytes."""
         totals, byte = self.totals[:, :, some], (self.codes[some] & np.uint64(255)).astype(np.int64)
@@ -315,14 +314,13 @@ class Mixer:
 
 
 class Known:
-    """Scores of the most frequent events: of each code its level and every mixer's log-probability."""
+    """Scores of the most frequent events: of each code every mixer's log-probability."""
 
-    def __init__(self, codes: np.ndarray, values: np.ndarray, level: np.ndarray):
+    def __init__(self, codes: np.ndarray, values: np.ndarray, n: np.ndarray):
         by = np.argsort(codes)
-        self.codes, self.slots = codes[by], None
+        self.codes, self.often, self.slots = codes[by], np.argsort(n[by], kind="stable").astype(np.int32), None
         # one place more, for events that aren't known
         self.values = np.concatenate([values[:, by], np.zeros((len(MIXERS), 1))], axis=1).astype(np.float32)
-        self.level = np.append(level[by], 0).astype(np.int8)
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"slots": None}
@@ -337,7 +335,7 @@ class Known:
             return np.full(len(codes), -1)
         if self.slots is None:
             self.slots = np.zeros(1 << _SLOTS, dtype=np.int32)
-            self.slots[self.slot(self.codes)] = np.arange(len(self.codes), dtype=np.int32)
+            self.slots[self.slot(self.codes[self.often])] = self.often  # of events for one slot the most frequent has it
         at = self.slots[self.slot(codes)]
         if (lost := np.flatnonzero(self.codes[at] != codes)).size:
             new, place = np.unique(codes[lost], return_inverse=True)
@@ -346,33 +344,27 @@ class Known:
         return at
 
     def scores(self, data: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-        """Sums over the known events of each text, by level and mixer; its other events and how often it has them."""
-        levels = len(LEVELS) + 1
-        out = np.zeros((len(data), levels, len(MIXERS)))
+        """Sums over the known events of each text, by mixer; its other events and how often it has them."""
+        out = np.zeros((len(data), len(MIXERS)))
         rest: list[list[np.ndarray]] = [[] for _ in data]
         for owners, codes, sizes in _blocks(data):
-            at = self.find(codes)
-            cell = np.repeat(np.arange(len(owners)) * levels, sizes) + self.level[at]
+            at, starts = self.find(codes), np.cumsum(sizes) - sizes
             for m in range(len(MIXERS)):
-                sums = np.bincount(cell, weights=self.values[m][at], minlength=len(owners) * levels)
-                np.add.at(out[:, :, m], owners, sums.reshape(-1, levels))
+                np.add.at(out[:, m], owners, np.add.reduceat(self.values[m][at], starts, dtype=np.float64))
             lost = np.flatnonzero(at < 0)
-            owner = np.searchsorted(np.cumsum(sizes) - sizes, lost, side="right") - 1
+            owner = np.searchsorted(starts, lost, side="right") - 1
             bounds = np.searchsorted(owner, np.arange(len(owners) + 1))
             for k, text in enumerate(owners):
                 if bounds[k] < bounds[k + 1]:
                     rest[text].append(codes[lost[bounds[k] : bounds[k + 1]]])
         pairs = [np.unique(np.concatenate(r), return_counts=True) if r else (np.zeros(0, np.uint64), np.zeros(0, np.int64)) for r in rest]
-        return out.reshape(len(data), -1), [p[0].view(np.int64) for p in pairs], [p[1] for p in pairs]
+        return out, [p[0].view(np.int64) for p in pairs], [p[1] for p in pairs]
 
 
-def online(sums: list[list[Column]]) -> Column:
-    """The log-probability of a text under online mixing, from the sums of its bytes' log-probabilities by level and mixer."""
-    total = F.lit(0.0)
-    for own in sums:
-        most = F.greatest(*own)
-        total = total + most + F.log10(sum((F.pow(F.lit(10.0), s - most) for s in own), F.lit(0.0)) / len(own))
-    return total
+def online(sums: list[Column]) -> Column:
+    """The log-probability of a text under online mixing, from the sums of its bytes' log-probabilities by mixer."""
+    most = F.greatest(*sums)
+    return most + F.log10(sum((F.pow(F.lit(10.0), s - most) for s in sums), F.lit(0.0)) / len(sums))
 
 
 def sharded(events: DataFrame) -> DataFrame:
@@ -469,16 +461,16 @@ _SCORES = [f"s{m}" for m in range(len(MIXERS))]
 
 
 def event_scores(shards: DataFrame, mixer: Mixer, short: list[Counts]) -> DataFrame:
-    """(code, n, tier, s0, s1, ...): the level and the log-probabilities of every event of the shards."""
+    """(code, n, s0, s1, ...): the log-probabilities of every event of the shards."""
     shared = shards.sparkSession.sparkContext.broadcast((mixer, short))
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         mixer, short = shared.value
         for nodes, n in _opened(batches, short):
             s = mixer.log10(nodes).astype(np.float32)
-            yield pd.DataFrame({"code": nodes.codes.view(np.int64), "n": n.astype(np.int64), "tier": nodes.level()} | dict(zip(_SCORES, s)))
+            yield pd.DataFrame({"code": nodes.codes.view(np.int64), "n": n.astype(np.int64)} | dict(zip(_SCORES, s)))
 
-    out = cut(shards.mapInPandas(of, "code bigint, n bigint, tier byte, " + ", ".join(f"{s} float" for s in _SCORES)), "event-scores")
+    out = cut(shards.mapInPandas(of, "code bigint, n bigint, " + ", ".join(f"{s} float" for s in _SCORES)), "event-scores")
     shared.destroy()
     return out
 
@@ -511,7 +503,7 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
     shards = sharded(events)
     scores = event_scores(shards, *train(events, shards))
     common = _head(scores, "n", EVENT_HEAD).toPandas()
-    known = Known(common["code"].to_numpy(np.int64).view(np.uint64), common[_SCORES].to_numpy(np.float64).T, common["tier"].to_numpy(np.int64))
+    known = Known(common["code"].to_numpy(np.int64).view(np.uint64), common[_SCORES].to_numpy(np.float64).T, common["n"].to_numpy(np.int64))
     head = {w.encode("utf-8"): x for w, x in zip(top["word"], np.log10(top["c"].to_numpy(np.float64) + 1))}
     shared = spark.sparkContext.broadcast((head, known))  # HEAD words, EVENT_HEAD events
 
@@ -542,16 +534,14 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
     rare = scored.select("row", F.explode(F.arrays_zip("tail", "tail_n")).alias("t")).select("row", F.col("t.tail").alias("word"), F.col("t.tail_n").alias("k"))
     met = rare.join(words, "word").groupBy("row").agg(F.sum("k").alias("n_tail"), F.sum(F.col("k") * F.log10(F.col("c") + 1)).alias("tail_log"))
     others = scored.select("row", F.explode(F.arrays_zip("codes", "codes_n")).alias("t")).select("row", F.col("t.codes").alias("code"), F.col("t.codes_n").alias("k"))
-    cells = [(level, s) for level in range(len(LEVELS) + 1) for s in _SCORES]
-    rest = [F.sum(F.when(F.col("tier") == level, F.col("k") * F.col(s).cast("double"))).alias(f"rest_{level}_{s}") for level, s in cells]
+    rest = [F.sum(F.col("k") * F.col(s).cast("double")).alias(f"rest_{s}") for s in _SCORES]
     behind = others.join(scores.drop("n"), "code").groupBy("row").agg(*rest)
     n_tokens = F.col("n_words") + 1
     base = F.col("head_log") + F.coalesce("tail_log", F.lit(0.0)) + float(np.log10(ends + 1)) - n_tokens * float(np.log10(n_all + v + 1))
-    sums = [F.col("sums")[i] + F.coalesce(f"rest_{level}_{s}", F.lit(0.0)) for i, (level, s) in enumerate(cells)]
-    each = len(MIXERS)
+    sums = [F.col("sums")[i] + F.coalesce(f"rest_{s}", F.lit(0.0)) for i, s in enumerate(_SCORES)]
     out = scored.join(met, "row", "left").join(behind, "row", "left").select(
         "doc_id", *keep, n_tokens.alias("n_tokens"), (F.col("n_head") + F.coalesce("n_tail", F.lit(0)) + int(ends > 0)).alias("n_known"), F.lit(int(n_all)).cast("bigint").alias("train_tokens"),
-        base.alias("base_score"), online([sums[at : at + each] for at in range(0, len(sums), each)]).alias("score"), "n_bytes",
+        base.alias("base_score"), online(sums).alias("score"), "n_bytes",
     )
     bits = F.col("score") * float(-np.log2(10))
     return out.select(*out.columns[:-1], bits.alias("total_bits"), (bits / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"))
