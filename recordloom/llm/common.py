@@ -36,6 +36,11 @@ def in_parts(batches: Iterator[pd.Series | pd.DataFrame], rows: int = BATCH_ROWS
             yield b.iloc[at : at + rows]
 
 
+def local(df: DataFrame) -> pd.DataFrame:
+    """The rows of a DataFrame of proven size in the driver, by Arrow whatever the session says: Row objects take many times the memory."""
+    return df.toArrow().to_pandas()
+
+
 @cache
 def _own_dir(application: str) -> str:
     return tempfile.mkdtemp(prefix="recordloom-")

@@ -49,7 +49,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import cut, in_parts, remainder, table
+from recordloom.llm.common import cut, in_parts, local, remainder, table
 
 ORDERS = 5
 #: Words whose counts are broadcast at most.
@@ -416,7 +416,7 @@ def train(events: DataFrame, shards: DataFrame) -> tuple[Mixer, list[Counts]]:
     """The mixers of (code, n) and of their shards, and the counts of short contexts."""
     spark = events.sparkSession
     # at most 2^24 counts
-    last = events.where("n > 0").groupBy(F.col("code").bitwiseAND(F.lit((1 << 8 * (SHORT + 1)) - 1)).alias("key")).agg(F.sum("n").alias("n")).toPandas()
+    last = local(events.where("n > 0").groupBy(F.col("code").bitwiseAND(F.lit((1 << 8 * (SHORT + 1)) - 1)).alias("key")).agg(F.sum("n").alias("n")))
     keys, n = last["key"].to_numpy(np.int64).view(np.uint64), last["n"].to_numpy(np.float64)
     short, mixer = [Counts(_key(keys, k), n) for k in range(1, SHORT + 1)], Mixer()
     for _ in range(EPOCHS):
@@ -434,7 +434,7 @@ def train(events: DataFrame, shards: DataFrame) -> tuple[Mixer, list[Counts]]:
             if seen:
                 yield pd.DataFrame({"cell": np.arange(len(total)), "w": total, "n": float(seen)})
 
-        found = shards.mapInPandas(weights, "cell int, w double, n double").groupBy("cell").agg((F.sum("w") / F.sum("n")).alias("w")).toPandas()
+        found = local(shards.mapInPandas(weights, "cell int, w double, n double").groupBy("cell").agg((F.sum("w") / F.sum("n")).alias("w")))
         shared.destroy()
         if len(found):
             mixer.weights = found.sort_values("cell")["w"].to_numpy().reshape(mixer.weights.shape)
@@ -499,10 +499,10 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
     events = cut(counts.where("code is not null").groupBy("code").agg(F.sum("n").alias("n")), "events")
     n_all, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     ends = (words.where("word = ''").first() or {"c": 0})["c"]
-    top = _head(words.where("word != ''"), "c", HEAD).toPandas()
+    top = local(_head(words.where("word != ''"), "c", HEAD))
     shards = sharded(events)
     scores = event_scores(shards, *train(events, shards))
-    common = _head(scores, "n", EVENT_HEAD).toPandas()
+    common = local(_head(scores, "n", EVENT_HEAD))
     known = Known(common["code"].to_numpy(np.int64).view(np.uint64), common[_SCORES].to_numpy(np.float64).T, common["n"].to_numpy(np.int64))
     head = {w.encode("utf-8"): x for w, x in zip(top["word"], np.log10(top["c"].to_numpy(np.float64) + 1))}
     shared = spark.sparkContext.broadcast((head, known))  # HEAD words, EVENT_HEAD events

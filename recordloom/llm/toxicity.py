@@ -1,22 +1,25 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-Features are hashed character n-grams of the letters of a text (lower case,
-anything else one space), each counted once a text. From labelled texts come
-each n-gram's document counts in both classes; the n-grams that tell the classes
-apart most surely become features, whose value in a text is the log ratio of the
-smoothed counts. A logistic model with a quadratic penalty is fitted on them.
+Features are character n-grams of the letters of a text (lower case, anything else
+one space), hashed to 2^HASH_BITS, each counted once a text. From labelled texts
+come each n-gram's document counts in both classes; every n-gram of the labelled
+texts is a feature, whose value in a text is the log ratio of the smoothed counts. A
+logistic model with a quadratic penalty is fitted on all of them: the texts'
+features stay in partitions, which give a gradient for each step of a limited-memory
+quasi-Newton method.
 
 The labelled sample is bounded by SAMPLE texts of each class, the ones of the
 least hashes of their ids; the weights give the classes their full counts again.
 
 Null and empty texts have no features and so the score of the intercept. Rows with
-a null id or label teach nothing; of several labels of an id the largest holds.
-With texts of one class alone, or none, every score is that class's share, or 0.
+a null id or label teach nothing; of several labels of an id the largest holds, and
+of several rows of a labelled id the text that comes last. With texts of one class
+alone, or none, every score is that class's share, or 0. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import cut, in_parts, remainder, table
+from recordloom.llm.common import cut, in_parts, local, remainder, table
 from recordloom.llm.letters import letters, slices
 
 #: Lengths of the n-grams, and bits of their hashes.
@@ -32,14 +35,15 @@ ORDERS = (4, 5)
 HASH_BITS = 20
 #: Labelled texts of each class that the model is fitted on at most.
 SAMPLE = 8_192
-#: Features at most, and how many standard errors their log ratio is from zero at least.
-FEATURES, LEAST_Z = 1_024, 3.0
-PENALTY = 1.0
+#: Weight of the squared weights; steps of the fit at most; partitions that the bounded sample's features are in.
+PENALTY, STEPS, PARTITIONS = 1.0, 60, 4
+#: Texts whose features are in one row.
+_PACK = 128
 
 
-def hits(texts: list[str], wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, feature) of each text's distinct n-grams; wanted maps hashes to features, or to -1."""
-    parts = []
+def hits(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, feature) of each text's distinct n-grams."""
+    found = []
     for owners, pieces in slices(texts):
         chars, sizes = letters(pieces)
         owner = np.repeat(np.arange(len(pieces), dtype=np.int32), sizes)
@@ -52,52 +56,63 @@ def hits(texts: list[str], wanted: np.ndarray | None = None) -> tuple[np.ndarray
                 continue
             slot = ((h ^ h >> np.uint32(15)) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - HASH_BITS)
             whole = owner[: len(h)] == owner[k:]
-            if wanted is None:
-                pairs = owners[owner[: len(h)][whole]].astype(np.int64) << 32 | slot[whole]
-            else:
-                found = wanted[slot]
-                at = np.flatnonzero((found >= 0) & whole)
-                pairs = owners[owner[at]].astype(np.int64) << 32 | found[at].astype(np.int64)
-            parts.append(np.unique(pairs))
-    pairs = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.int64)
+            found.append(np.unique(owners[owner[: len(h)][whole]].astype(np.int64) << 32 | slot[whole]))
+    pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
     return pairs >> 32, pairs & 0xFFFFFFFF
 
 
 @dataclass
 class Classifier:
-    """weights: of each feature, times its log ratio; wanted: the feature of each hash or -1."""
+    """weights: of each hash, times its log ratio; 0 for n-grams that no labelled text has."""
 
-    wanted: np.ndarray
     weights: np.ndarray
     intercept: float
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         z = np.full(len(texts), self.intercept)
-        if len(self.weights):
-            rows, cols = hits(["" if t is None else t for t in texts], self.wanted)
+        if self.weights.any():
+            rows, cols = hits(["" if t is None else t for t in texts])
             z += np.bincount(rows, weights=self.weights[cols], minlength=len(texts))
         return 1 / (1 + np.exp(-np.clip(z, -700, 700)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = PENALTY, rounds: int = 12) -> tuple[np.ndarray, float]:
-    """Weights and intercept of the penalised logistic model, by Newton's method."""
-    n, d = x.shape
-    share = float((weight * y).sum() / weight.sum())
-    w, b = np.zeros(d), float(np.log(share / (1 - share)))
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w + b, -700, 700)))
-        g, s = weight * (p - y), np.maximum(weight * p * (1 - p), 1e-9)
-        xs = x * s[:, None].astype(x.dtype)
-        h = np.zeros((d + 1, d + 1))
-        h[:d, :d] = x.T @ xs
-        h[:d, d] = h[d, :d] = xs.sum(axis=0)
-        h[d, d] = s.sum()
-        h[np.arange(d), np.arange(d)] += penalty
-        step = np.linalg.solve(h, np.append(x.T @ g + penalty * w, g.sum()))
-        w, b = w - step[:d], b - step[d]
-        if np.abs(step).max() < 1e-6:
+def minimum(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, steps: int = STEPS, memory: int = 8, least: float = 1e-4) -> np.ndarray:
+    """Where a convex function is least, from its values and gradients, by L-BFGS with halved steps."""
+    value, g = f(x)
+    first, pairs = max(1e-12, float(np.abs(g).max())), []
+    for _ in range(steps):
+        if np.abs(g).max() <= least * first:
             break
-    return w, float(b)
+        d, alphas = -g, []
+        for s, y, rho in reversed(pairs):
+            alphas.append(rho * (s @ d))
+            d = d - alphas[-1] * y
+        d = d * (pairs[-1][0] @ pairs[-1][1] / (pairs[-1][1] @ pairs[-1][1]) if pairs else 1 / max(1.0, float(np.linalg.norm(g))))
+        for (s, y, rho), alpha in zip(pairs, reversed(alphas)):
+            d = d + s * (alpha - rho * (y @ d))
+        slope, size = float(g @ d), 1.0
+        for _ in range(20):
+            new_value, new_g = f(x + size * d)
+            if new_value <= value + 1e-4 * size * slope:
+                break
+            size /= 2
+        else:
+            break
+        s, y = size * d, new_g - g
+        x, value, g = x + s, new_value, new_g
+        if s @ y > 1e-12:
+            pairs = [*pairs[1 - memory :], (s, y, 1 / (s @ y))]
+    return x
+
+
+def loss(codes: np.ndarray, sizes: np.ndarray, y: np.ndarray, weight: np.ndarray, w: np.ndarray, b: float) -> tuple[float, np.ndarray, float]:
+    """Weighted logistic loss of texts, whose features follow one another, and its gradient by feature and by the intercept."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    z = b + np.bincount(owner, weights=w[codes], minlength=len(sizes))
+    p = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
+    miss = weight * (p - y)
+    value = float((weight * (np.logaddexp(0, z) - y * z)).sum())
+    return value, np.bincount(codes, weights=miss[owner], minlength=len(w)), float(miss.sum())
 
 
 def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic") -> Classifier:
@@ -107,47 +122,61 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
     texts = docs.select(F.col(id_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     present = cut(own.join(docs.select(F.col(id_col).alias("key")).distinct(), "key"), "labelled")
     totals = {r["y"]: r["n"] for r in present.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    none = np.full(1 << HASH_BITS, -1, dtype=np.int16)
+    size = 1 << HASH_BITS
     if len(totals) < 2:
         share = float(next(iter(totals), 0))
-        return Classifier(none, np.zeros(0), 700.0 if share else -700.0)
+        return Classifier(np.zeros(size), 700.0 if share else -700.0)
     of = lambda y: present.where(F.col("y") == y).orderBy(F.xxhash64("key"), "key").limit(SAMPLE)
     sample = of(0).union(of(1))  # 2 * SAMPLE rows at most
-    rows = cut(texts.join(F.broadcast(sample), "key"), "labelled-texts")
+    rows = texts.join(F.broadcast(sample), "key").groupBy("key", "y").agg(F.max("text").alias("text"))  # one row of each id
+    share = {y: totals[y] / min(totals[y], SAMPLE) for y in (0, 1)}
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n = np.zeros((2, 1 << HASH_BITS), dtype=np.int64)
-        for b in in_parts(batches):
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in in_parts(batches, _PACK):
             number, feature = hits(b["text"].tolist())
-            y = b["y"].to_numpy()[number]
+            sizes = np.bincount(number, minlength=len(b))
+            yield pd.DataFrame({"codes": [feature.astype("<i4").tobytes()], "sizes": [sizes.astype("<i4").tobytes()], "y": [b["y"].to_numpy("<f8").tobytes()]})
+
+    packed = cut(rows.repartition(PARTITIONS, "key").mapInPandas(pack, "codes binary, sizes binary, y binary"), "labelled-features")
+
+    def opened(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for b in batches:
+            for codes, sizes, y in zip(b["codes"], b["sizes"], b["y"]):
+                yield np.frombuffer(codes, "<i4"), np.frombuffer(sizes, "<i4"), np.frombuffer(y, "<f8")
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = np.zeros((2, size), dtype=np.int64)
+        for codes, sizes, y in opened(batches):
+            owner = np.repeat(y, sizes)
             for k in (0, 1):
-                n[k] += np.bincount(feature[y == k], minlength=1 << HASH_BITS)
+                n[k] += np.bincount(codes[owner == k], minlength=size)
         some = np.flatnonzero(n.sum(axis=0))
         yield pd.DataFrame({"feature": some, "n0": n[0, some], "n1": n[1, some]})
 
-    counts = rows.mapInPandas(count, "feature bigint, n0 bigint, n1 bigint").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    size = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    ratio = F.log((F.col("n1") + 1) / (size[1] + 2)) - F.log((F.col("n0") + 1) / (size[0] + 2))
-    sure = F.abs(F.col("ratio")) / F.sqrt(1 / (F.col("n0") + 1) + 1 / (F.col("n1") + 1))
-    best = counts.withColumn("ratio", ratio).withColumn("z", sure).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "feature").limit(FEATURES).toPandas()
-    none[best["feature"].to_numpy()] = np.arange(len(best))
-    shared = spark.sparkContext.broadcast(none)
-
-    @F.pandas_udf("array<int>")
-    def features(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in in_parts(batches):
-            number, feature = hits(texts.tolist(), shared.value)
-            yield pd.Series(np.split(feature.astype(np.int32), np.searchsorted(number, np.arange(1, len(texts)))), dtype=object)
-
-    fit = rows.select("y", features("text").alias("f")).toPandas()
-    x = np.zeros((len(fit), len(best)), dtype=np.float32)
-    r = best["ratio"].to_numpy(np.float64)
-    for k, f in enumerate(fit["f"]):
-        x[k, f] = r[f]
-    y = fit["y"].to_numpy(np.float64)
-    weight = np.where(y == 1, totals[1] / size[1], totals[0] / size[0])
-    w, b = logistic(x, y, weight)
-    return Classifier(none, w * r, b)
+    counted = local(packed.mapInPandas(count, "feature int, n0 bigint, n1 bigint").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))  # 2^HASH_BITS rows at most
+    fitted, ratio = {y: min(totals[y], SAMPLE) for y in (0, 1)}, np.zeros(size)
+    ratio[counted["feature"]] = np.log((counted["n1"] + 1) / (fitted[1] + 2)) - np.log((counted["n0"] + 1) / (fitted[0] + 2))
+
+    def objective(x: np.ndarray) -> tuple[float, np.ndarray]:
+        shared = spark.sparkContext.broadcast((ratio * x[:-1], float(x[-1])))
+
+        def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            w, b = shared.value
+            value, g, of_b = 0.0, np.zeros(size), 0.0
+            for codes, sizes, y in opened(batches):
+                v, more, more_b = loss(codes, sizes, y, np.where(y == 1, share[1], share[0]), w, b)
+                value, g, of_b = value + v, g + more, of_b + more_b
+            yield pd.DataFrame({"value": [value], "g": [g.astype("<f4").tobytes()], "b": [of_b]})
+
+        parts = packed.mapInPandas(part, "value double, g binary, b double").collect()
+        shared.destroy()
+        g = ratio * sum(np.frombuffer(r["g"], "<f4").astype(np.float64) for r in parts) + PENALTY * x[:-1]
+        return sum(r["value"] for r in parts) + PENALTY / 2 * float(x[:-1] @ x[:-1]), np.append(g, sum(r["b"] for r in parts))
+
+    start = np.zeros(size + 1)
+    start[-1] = np.log(totals[1] / totals[0])
+    x = minimum(objective, start)
+    return Classifier(ratio * x[:-1], float(x[-1]))
 
 
 def scored(text: Column, model: Classifier) -> Column:
