@@ -3,8 +3,9 @@
 Features are character n-grams of the letters of a text (lower case, anything else
 one space), hashed to 2^HASH_BITS, each counted once a text. From labelled texts
 come each n-gram's document counts in both classes; every n-gram of the labelled
-texts is a feature, whose value in a text is the log ratio of the smoothed counts. A
-logistic model with a quadratic penalty is fitted on all of them: the texts'
+texts is a feature, whose value in a text is the log ratio of the smoothed counts,
+drawn towards zero the less it exceeds its standard error (z): by z^2 / (z^2 + SHRINK).
+Counts are smoothed in proportion to the classes. A logistic model with a quadratic penalty is fitted on all of them: the texts'
 features stay in partitions, which give a gradient for each step of a limited-memory
 quasi-Newton method.
 
@@ -36,7 +37,9 @@ HASH_BITS = 20
 #: Labelled texts of each class that the model is fitted on at most.
 SAMPLE = 8_192
 #: Weight of the squared weights; steps of the fit at most; partitions that the bounded sample's features are in.
-PENALTY, STEPS, PARTITIONS = 1.0, 60, 4
+PENALTY, STEPS, PARTITIONS = 0.3, 60, 4
+#: Smoothing of the counts, and how far ratios are drawn to zero; with PENALTY by cross-validation on training labels.
+SMOOTHING, SHRINK = 4.0, 25.0
 #: Texts whose features are in one row.
 _PACK = 128
 
@@ -76,6 +79,15 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(z, -700, 700)))
 
 
+def log_ratios(n0: np.ndarray, n1: np.ndarray, texts_0: int, texts_1: int) -> np.ndarray:
+    """Log ratios of the shares of both classes' texts that have an n-gram, smoothed and drawn towards zero."""
+    share = texts_1 / (texts_0 + texts_1)
+    a0, a1 = SMOOTHING * (1 - share), SMOOTHING * share
+    r = np.log((n1 + a1) / (texts_1 + a1)) - np.log((n0 + a0) / (texts_0 + a0))
+    z2 = r * r / (1 / (n0 + 1) + 1 / (n1 + 1))
+    return r * z2 / (z2 + SHRINK)
+
+
 def minimum(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, steps: int = STEPS, memory: int = 8, least: float = 1e-4) -> np.ndarray:
     """Where a convex function is least, from its values and gradients, by L-BFGS with halved steps."""
     value, g = f(x)
@@ -154,8 +166,8 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
         yield pd.DataFrame({"feature": some, "n0": n[0, some], "n1": n[1, some]})
 
     counted = local(packed.mapInPandas(count, "feature int, n0 bigint, n1 bigint").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))  # 2^HASH_BITS rows at most
-    fitted, ratio = {y: min(totals[y], SAMPLE) for y in (0, 1)}, np.zeros(size)
-    ratio[counted["feature"]] = np.log((counted["n1"] + 1) / (fitted[1] + 2)) - np.log((counted["n0"] + 1) / (fitted[0] + 2))
+    ratio = np.zeros(size)
+    ratio[counted["feature"]] = log_ratios(counted["n0"].to_numpy(), counted["n1"].to_numpy(), *(min(totals[y], SAMPLE) for y in (0, 1)))
 
     def objective(x: np.ndarray) -> tuple[float, np.ndarray]:
         shared = spark.sparkContext.broadcast((ratio * x[:-1], float(x[-1])))
