@@ -33,7 +33,7 @@ from recordloom.llm.letters import letters, slices
 
 #: Lengths of the n-grams, and bits of their hashes.
 ORDERS = (4, 5)
-HASH_BITS = 20
+HASH_BITS = 19
 #: Labelled texts of each class that the model is fitted on at most.
 SAMPLE = 8_192
 #: Weight of the squared weights; steps of the fit at most; partitions that the bounded sample's features are in.
@@ -88,7 +88,7 @@ def log_ratios(n0: np.ndarray, n1: np.ndarray, texts_0: int, texts_1: int) -> np
     return r * z2 / (z2 + SHRINK)
 
 
-def minimum(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, steps: int = STEPS, memory: int = 8, least: float = 1e-4) -> np.ndarray:
+def minimum(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, steps: int = STEPS, memory: int = 5, least: float = 1e-3) -> np.ndarray:
     """Where a convex function is least, from its values and gradients, by L-BFGS with halved steps."""
     value, g = f(x)
     first, pairs = max(1e-12, float(np.abs(g).max())), []
@@ -113,7 +113,7 @@ def minimum(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray,
         s, y = size * d, new_g - g
         x, value, g = x + s, new_value, new_g
         if s @ y > 1e-12:
-            pairs = [*pairs[1 - memory :], (s, y, 1 / (s @ y))]
+            pairs = [*pairs[1 - memory :], (s.astype(np.float32), y.astype(np.float32), float(1 / (s @ y)))]
     return x
 
 
