@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +11,21 @@ from pyspark.sql import functions as F
 SENTINELS = ("NA", "null", "not available", "nan", "", "-")
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df with its lineage cut in the folder of spark.checkpoint.dir, which outlives lost executors.
+
+    Where none is named, one machine takes a temporary folder, and a cluster is an error.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(path or tempfile.mkdtemp(prefix="recordloom-"))
+    return df.checkpoint()
+
+
 def assert_key(df: DataFrame, key: str) -> DataFrame:
     """df, if the key is unique and never null."""
     if df.groupBy(key).count().where(F.col(key).isNull() | (F.col("count") > 1)).limit(1).count():
@@ -39,29 +55,66 @@ def profile(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def column_types(df: DataFrame, columns: list[str], many: int = 20) -> DataFrame:
-    """(column, n_distinct, has_null, kind) of string columns: binary, numerical or categorical."""
-    each = [F.struct(F.lit(c).alias("column"), F.count_distinct(c).alias("n_distinct"), (F.count_if(F.col(c).isNull()) > 0).alias("has_null"), F.coalesce(F.bool_and(F.col(c).try_cast("double").isNotNull() | F.col(c).isNull()), F.lit(False)).alias("numbers")) for c in columns]
-    found = df.agg(F.array(*each).alias("p")).select(F.inline("p"))
+    """(column, n_distinct, has_null, kind) of string columns: binary, numerical or categorical.
+
+    Values are counted as (column, value) pairs, each once after a partial count, so rows are not copied for each distinct count.
+    """
+    found = distinct_values(df, columns)
+    numbers = F.coalesce(F.bool_and(F.when(F.col("value").isNotNull(), F.col("value").try_cast("double").isNotNull())), F.lit(True))
+    found = found.groupBy("column").agg(F.count("value").alias("n_distinct"), (F.count_if(F.col("value").isNull()) > 0).alias("has_null"), numbers.alias("numbers"))
     kind = F.when(F.col("n_distinct") == 2, "binary").when(F.col("numbers") & (F.col("n_distinct") > many), "numerical").otherwise("categorical")
     return found.select("column", "n_distinct", "has_null", kind.alias("kind"))
 
 
+def distinct_values(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, value, n): how often each column has each value, null among them."""
+    pairs = F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns))
+    return df.select(F.inline(pairs)).groupBy("column", "value").agg(F.count("*").alias("n"))
+
+
 def binary_code(df: DataFrame, column: str, name: str) -> DataFrame:
-    """The number, from 0, of a column's value among its values in order."""
-    values = df.select(column).dropna().distinct()
-    codes = values.select(column, (F.row_number().over(Window.orderBy(column)) - 1).alias(name))  # over distinct values alone
-    return df.join(codes, column, "left")
+    """The number, 0 or 1, of a column's value among its two values in order; more values are an error, null stays null."""
+    values = sorted(r[0] for r in df.select(column).dropna().distinct().limit(3).collect())
+    if len(values) > 2:
+        raise ValueError(f"{column} has more than two values")
+    code = F.lit(None).cast("int")
+    for k, v in enumerate(values):
+        code = F.when(F.col(column) == v, k).otherwise(code)
+    return df.withColumn(name, code)
+
+
+#: Values of a column that become columns, at most; a column of more is no category.
+LEVELS = 2_000
 
 
 def one_hot(df: DataFrame, column: str, values: list | None = None) -> DataFrame:
-    """df with a 0/1 column `column_value` for each value, in order. Without values, they are read first."""
-    values = values if values is not None else sorted(r[0] for r in df.select(column).dropna().distinct().collect())
+    """df with a 0/1 column `column_value` for each value, in order. Without values, they are read first, LEVELS at most."""
+    if values is None:
+        values = sorted(r[0] for r in df.select(column).dropna().distinct().limit(LEVELS + 1).collect())
+        if len(values) > LEVELS:
+            raise ValueError(f"{column} has over {LEVELS} values")
     return df.select("*", *(F.coalesce((F.col(column) == v).cast("int"), F.lit(0)).alias(f"{column}_{v}") for v in values))
 
 
 def transposed(df: DataFrame, name: str, columns: list[str], key: str, names: list) -> DataFrame:
-    """Rows become columns: one row per column of df in `key`, one column per value of `name`."""
-    return df.unpivot([name], columns, key, "_v").groupBy(key).pivot(name, names).agg(F.first("_v"))
+    """Rows become columns: one row per column of df in `key`, one column per value of `name`; of several the least value."""
+    return df.unpivot([name], columns, key, "_v").groupBy(key).pivot(name, names).agg(F.min("_v"))
+
+
+def collected(df: DataFrame, keys: list[str], values: list[str], order: list[str]) -> DataFrame:
+    """(keys, rows): the rows of each key as one ordered array of structs, for groups that are known to be small."""
+    return df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, *(v for v in values if v not in order)))).alias("rows"))
+
+
+def without_missing(df: DataFrame, columns: list[str], key: str) -> tuple[DataFrame, DataFrame]:
+    """Rows without a null in columns that have any, and the keys of the others."""
+    missing = reduce(lambda a, b: a | b, (F.col(c).isNull() for c in columns))
+    return df.where(~missing), df.where(missing).select(key)
+
+
+def with_key(df: DataFrame, prefix: str, number: str, name: str = "id") -> DataFrame:
+    """df with a key like a0, a1 made of a row number."""
+    return df.select(F.concat(F.lit(prefix), F.col(number).cast("string")).alias(name), *(c for c in df.columns if c != number))
 
 
 def bucket(value: Column, bounds: list[float]) -> Column:
