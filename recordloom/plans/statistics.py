@@ -93,6 +93,30 @@ def binary_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.binary_code(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_linestatus"), "l_linestatus", "code").select("l_orderkey", "l_linenumber", "code")
 
 
+@query("SELECT 'c' || (row_number() OVER (ORDER BY c_custkey) - 1) AS id, c_custkey, c_name FROM customer")
+def generated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.with_key(P.ranked_by(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), ["c_custkey"], "n"), "c", "n")
+
+
+@query("SELECT o_custkey, array_to_string(list(o_orderkey ORDER BY o_orderkey), ' ') AS orders, count(*) AS n FROM orders GROUP BY o_custkey")
+def grouped_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = R.collected(table(spark, sf_dir, "orders"), ["o_custkey"], ["o_totalprice"], ["o_orderkey"])
+    return found.select("o_custkey", F.array_join(F.transform("rows", lambda r: r["o_orderkey"].cast("string")), " ").alias("orders"), F.size("rows").cast("bigint").alias("n"))
+
+
+@query("SELECT o_orderkey, o_orderkey % 5 = 0 AS dropped FROM orders")
+def dropped_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with a missing value, whose keys are kept apart from the others."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 5 != 0, F.col("o_totalprice")).alias("price"))
+    kept, dropped = R.without_missing(rows, ["price"], "o_orderkey")
+    return kept.select("o_orderkey", F.lit(False).alias("dropped")).union(dropped.select("o_orderkey", F.lit(True)))
+
+
+@query("SELECT 'o_orderstatus' AS \"column\", o_orderstatus AS value, count(*) AS n FROM orders GROUP BY 2 UNION ALL SELECT 'o_orderpriority', o_orderpriority, count(*) FROM orders GROUP BY 2")
+def value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.distinct_values(table(spark, sf_dir, "orders"), ["o_orderstatus", "o_orderpriority"])
+
+
 _SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 _NATIONS = tuple(range(25))
 

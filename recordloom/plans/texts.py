@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from recordloom.functions import money as M
 from recordloom.functions import text as T
 from recordloom.plans.tables import table
-from recordloom.sources import files, web
+from recordloom.sources import fields, files, web
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -113,10 +114,32 @@ def list_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return web.page_links(spark, "https://example.com", "/search?page=", 1, 275)
 
 
+@query(r"""SELECT page_id, trim(replace(replace(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) AS heading, array_to_string(regexp_extract_all(html, '<li><a href="([^"]*)"', 1), ' ') AS links,
+len(regexp_extract_all(html, '<p>'))::INTEGER AS paragraphs, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang, trim(regexp_extract(html, '<div class="ad">([^<]*)</div>', 1)) AS ad FROM pages""")
+def page_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of pages by a table of selectors."""
+    site = {"heading": "article h1", "links": "nav li a@href", "paragraphs": "p", "lang": "html@lang", "ad": "div.ad"}
+    f = table(spark, sf_dir, "pages").select("page_id", fields.fields(F.col("html"), site).alias("f")).select("page_id", "f.*")
+    return f.select("page_id", F.get("heading", 0).alias("heading"), F.array_join("links", " ").alias("links"), F.size("paragraphs").alias("paragraphs"), F.get("lang", 0).alias("lang"), F.get("ad", 0).alias("ad"))
+
+
+@query()
+def page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of pages laid out as the first site lays them out, filled from the tables' own pages."""
+    own = fields.fields(F.col("html"), {"heading": "article h1", "links": "nav li a"})
+    p = table(spark, sf_dir, "pages").select("page_id", own.alias("f")).select("page_id", F.get("f.heading", 0).alias("heading"), F.col("f.links").alias("links"))
+    people = F.array_join(F.transform("links", lambda x: F.concat(F.lit('<td class="itemprop"><a href="#"><span class="itemprop">'), x, F.lit("</span></a></td>"))), "")
+    html = F.concat(F.lit('<div id="ratingWidget"><p><strong>'), "heading", F.lit("</strong> ("), (F.col("page_id") % 20 + 2000).cast("string"), F.lit(")</p></div><time itemprop='duration'>1h "), (F.col("page_id") % 60).cast("string"), F.lit("min</time>"), people, F.lit("<div class='txt-block'><h4>Budget:</h4> $1,000,000<br></div>"))
+    return p.select("page_id", fields.records(html).alias("r")).select("page_id", "r.*")
+
+
 @query("SELECT doc_id, lang, source, n_chars FROM documents")
 def incremental_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches appended to a table of one run, in the folder of spark.checkpoint.dir or a temporary one."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="recordloom-")
-    path = f"{shared}/appended-{spark.sparkContext.applicationId}-{abs(hash((sf_dir, id(docs))))}"
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    path = f"{shared or tempfile.mkdtemp(prefix='recordloom-')}/recordloom/appended-{uuid.uuid4().hex}"
     files.append_new(docs.where("lang = 'en'"), path, ["doc_id"])
     return files.append_new(docs, path, ["doc_id"])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from recordloom.operators.records import nulled
+from recordloom.operators.split import ranked_by
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None, separator: str = ",", header: bool = True) -> DataFrame:
@@ -27,6 +28,30 @@ def read_gene_rows(spark: SparkSession, path: str, genes: list[str]) -> DataFram
     return rows.where(F.col(rows.columns[0]).isin(genes) | F.col(rows.columns[1]).isin(genes))
 
 
+def read_titles(spark: SparkSession, path: str, kinds: tuple[str, ...] = ("movie", "short", "tvSeries")) -> DataFrame:
+    """(word) of a TSV with a header: the third column where the second is one of kinds."""
+    rows = read_csv(spark, path, separator="\t")
+    return rows.where(F.col(rows.columns[1]).isin(*kinds)).select(F.col(rows.columns[2]).alias("word"))
+
+
+def read_column(spark: SparkSession, path: str, numbers: tuple[int, ...] = (0,), separator: str = ",", header: bool = False) -> DataFrame:
+    """(word): distinct values of some columns of a delimited file, a gazetteer of names."""
+    rows = read_csv(spark, path, separator=separator, header=header)
+    return rows.select(F.explode(F.array(*(F.col(rows.columns[n]) for n in numbers))).alias("word")).dropna().distinct()
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """(number, url) of lines like '12 https://...'."""
+    parts = F.split("value", " ", 2)
+    return read_lines(spark, path).select(F.get(parts, 0).try_cast("bigint").alias("number"), F.get(parts, 1).alias("url"))
+
+
+def read_names(spark: SparkSession, path: str) -> DataFrame:
+    """(filename, folder) of the files under a path, without their content."""
+    whole = F.split(F.col("_metadata.file_path"), "/")
+    return spark.read.format("binaryFile").load(path).select(F.element_at(whole, -1).alias("filename"), F.element_at(whole, -2).alias("folder"))
+
+
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """(filename, text): one row per file."""
     return spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("filename"), F.col("value").alias("text"))
@@ -43,7 +68,10 @@ def read_vectors(spark: SparkSession, path: str, width: int = 60) -> DataFrame:
     return rows.select(F.array(*(F.col(c).cast("double") for c in rows.columns[:width])).alias("vector"), F.col(rows.columns[width]).alias("label"))
 
 
-def write_csv(df: DataFrame, path: str) -> None:
+def write_csv(df: DataFrame, path: str, index: list[str] | None = None) -> None:
+    """index: columns by whose order rows get a number, from 0, as the first column."""
+    if index:
+        df = ranked_by(df, index, "index").select("index", *df.columns)
     df.write.mode("overwrite").options(header=True, quote='"', escape='"').csv(path)
 
 

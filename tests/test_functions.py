@@ -209,3 +209,78 @@ def test_article():
     page = "<html><nav>menu</nav><article><h1>Head</h1><div class='ad'><div>buy</div></div><p>One<br><p>two</article><p>after"
     assert web.article(page) == ("Head", "Head One two", 3)
     assert web.article(None) == (None, None, 0) and web.article("") == (None, None, 0)
+
+
+PAGE = """<html><head><meta property="og:title" content="Alien"><meta itemprop="contentRating" content="R"></head><body><div id="ratingWidget"><p><strong>Alien</strong> (1979)</p></div>
+<span itemprop="ratingValue">8.5</span><span itemprop="keywords">space</span><span itemprop="keywords">cat</span><time itemprop="duration">1h 57min</time>
+<a href="/genre/x?ref=tt_stry_gnr"> Horror</a><div class="credit_summary_item"><span itemprop="director"><a><span>R. Scott</span></a></span></div>
+<table><tr>""" + "".join(f'<td class="itemprop"><a><span class="itemprop">Actor {k}</span></a></td>' for k in range(7)) + """</tr></table>
+<div class="txt-block"><h4>Country:</h4><a itemprop="url">UK</a> <a itemprop="url">USA</a></div><div class="txt-block">none</div><div class="txt-block"><h4>Budget:</h4> $11,000,000 <br></div>
+<div class="user_score_chart" data-percent="81"></div><li class="profile"><p>Ann</p><p>Director, Writer</p></li><li class="profile"><p>Bo</p></li><li class="card"><p>Cy</p><p>as X</p></li>
+<section class="facts left_column"><p>Runtime 1h 57m
+Budget $11,000</p></section><section class="genres right_column"><ul><li>War</li></ul></section></body></html>"""
+
+
+def test_page_records_and_selectors(spark):
+    from recordloom.sources import fields
+
+    page = fields.tree(PAGE)
+    one, two = fields.first_site(page), fields.second_site(page)
+    assert (one["title"], one["release_year"], one["rating"], one["run_time"], one["content_rating"], one["genres"], one["directors"]) == ("Alien", "1979", "8.5", "117", "R", "Horror", "R. Scott")
+    assert one["cast"] == "Actor 0;Actor 1;Actor 2;Actor 3;Actor 4" and one["keywords"] == "space;cat" and one["production_countries"] == "UK;USA" and one["budget"] == "$11000000" and one["writers"] == ""
+    assert (two["title"], two["rating"], two["directors"], two["writers"], two["cast"], two["run_time"], two["budget"], two["genres"]) == ("Alien", "81", "Ann", "Ann", "Cy", "117", "$11000", "War")
+    assert fields.selected(page, "body li.profile p") == ["Ann", "Director, Writer", "Bo"] and fields.selected(page, "p li") == [] and fields.selected(page, "[data-percent]@data-percent") == ["81"]
+    df = spark.createDataFrame([(PAGE,), ("",), (None,), ("<p>un<b>closed",)], "html string")
+    got = df.select(fields.records(F.col("html")).alias("r")).select("r.*").collect()
+    assert got[0]["title"] == "Alien" and all(v is None for r in got[1:] for v in r)
+    assert [r[0] for r in df.select(F.get(fields.fields(F.col("html"), {"x": "b"})["x"], 0)).collect()] == [None, None, None, "closed"]
+
+
+def test_article_chain(spark):
+    from recordloom.sources import fields
+
+    pages = {
+        '<section id="article-section-1"><aside>ad</aside>one<aside>two</aside></section>': "onetwo",
+        '<div class="article-content wide"><div>ad</div>text<aside>x</aside></div>': "text",
+        '<article itemprop="articleBody"><div>ad</div>post</article>': "post",
+        '<article class="node-article">hill<a class="more">m</a><a class="name">n</a><a>k</a></article>': "hillk",
+        '<div id="article-body"><p>lead</p><p>rest</p></div>': "rest",
+        "<div>nothing</div>": None,
+    }
+    got = spark.createDataFrame([(h,) for h in pages], "html string").select(fields.article_texts(F.col("html"))).collect()
+    assert [r[0] for r in got] == list(pages.values())
+
+
+def test_more_readers(spark, tmp_path):
+    (tmp_path / "t.tsv").write_text("id\ttype\ttitle\n1\tmovie\tAlien\n2\tgame\tDoom\n")
+    (tmp_path / "n.csv").write_text("last,first\nLee,Ann\nLee,Bo\n")
+    (tmp_path / "i.txt").write_text("1 http://a\n\n22 http://b c\n")
+    assert [r[0] for r in files.read_titles(spark, str(tmp_path / "t.tsv")).collect()] == ["Alien"]
+    assert sorted(r[0] for r in files.read_column(spark, str(tmp_path / "n.csv"), (0, 1), header=True).collect()) == ["Ann", "Bo", "Lee"]
+    assert [tuple(r) for r in files.read_index(spark, str(tmp_path / "i.txt")).collect()] == [(1, "http://a"), (22, "http://b c")]
+    assert sorted(r["filename"] for r in files.read_names(spark, str(tmp_path)).collect()) == ["i.txt", "n.csv", "t.tsv"]
+    files.write_csv(spark.createDataFrame([("b",), ("a",)], "x string"), str(tmp_path / "out"), index=["x"])
+    assert sorted(map(tuple, files.read_csv(spark, str(tmp_path / "out")).collect())) == [("0", "a"), ("1", "b")]
+
+
+def test_reshaping_and_ranks(spark):
+    df = spark.createDataFrame([(1, "x"), (2, None), (3, "y"), (4, "x")], "k int, v string")
+    assert sorted((r["k"], r["c"]) for r in R.binary_code(df, "v", "c").collect()) == [(1, 0), (2, None), (3, 1), (4, 0)]
+    with pytest.raises(ValueError):
+        R.binary_code(df.withColumn("v", F.col("k").cast("string")), "v", "c")
+    assert sorted((r["k"], r["n"]) for r in P.ranked_by(df.repartition(3), ["k"], "n").collect()) == [(1, 0), (2, 1), (3, 2), (4, 3)]
+    kept, dropped = R.without_missing(df, ["v"], "k")
+    assert kept.count() == 3 and [r[0] for r in dropped.collect()] == [2]
+    assert [[x["k"] for x in r["rows"]] for r in R.collected(df.where("v = 'x'"), ["v"], ["v"], ["k"]).collect()] == [[1, 4]]
+    twice = spark.createDataFrame([("g", 2.0, 5.0), ("g", 1.0, 7.0)], "gene string, p1 double, p2 double")
+    assert sorted(map(tuple, R.transposed(twice, "gene", ["p1", "p2"], "patient", ["g"]).collect())) == [("p1", 1.0), ("p2", 5.0)]
+    empty = R.column_types(df.limit(0), ["v"]).collect()
+    assert empty == []
+
+
+def test_missed_pairs_fall_back_to_common_items(spark):
+    left = spark.createDataFrame([(1, ["a", "b", "c"]), (2, ["a", "z"]), (3, [])], "id int, w array<string>")
+    right = spark.createDataFrame([(7, ["a", "b", "c"]), (8, ["a", "q", "r", "s"]), (9, ["n"])], "id int, w array<string>")
+    candidates = spark.createDataFrame([(1, 7)], "l_id int, r_id int")
+    got = [tuple(r) for r in B.missed_pairs(left, right, candidates, "id", "id", "w").collect()]
+    assert [g[:2] for g in got] == [(2, 7), (2, 8), (1, 8)] and abs(got[0][2] - 0.25) < 1e-9 and abs(got[1][2] - 0.2) < 1e-9

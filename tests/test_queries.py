@@ -32,6 +32,6 @@ def test_matches_sql(spark, duck, sf_dir, name):
     assert rows(got.select(*[f"`{c}`" for c in columns]).collect()) == rows(found.fetchall())
 
 
-@pytest.mark.parametrize("name", ["smith_waterman_titles", "html_article_udf", "matcher_predict", "mlp_sgd_folds"])
+@pytest.mark.parametrize("name", ["smith_waterman_titles", "html_article_udf", "page_records", "mlp_sgd_folds"])
 def test_runs(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).count() > 0
