@@ -4,6 +4,11 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it
 Parquet in the shared folder and reads it again as the next stage's docs. All
 stages but the last return the columns of `documents`. Models are learnt from the
 tables of sf_dir, as in the queries of the operators; decisions are on docs.
+
+Null and empty texts are rejected by the first stage; a later one alone takes them as empty.
+Repeated rows stay or go together, as do rows of one id in the near-duplicate stage, where
+rows without an id stay. An empty table gives an empty result with the same columns. Further
+columns, whatever their names, are carried through all stages but the last.
 """
 
 from __future__ import annotations
@@ -16,6 +21,8 @@ from recordloom.llm.common import cut, remainder, table
 
 #: Ids that go to all executors up to this many; beyond it rows are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Fingerprints of each text in the near-duplicate stage, which link in any of them: one alone misses near copies.
+PRINTS = 3
 
 
 def _unused(docs: DataFrame, name: str) -> str:
@@ -43,7 +50,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document of the smallest id stays; rows of one id go or stay together, those without an id stay."""
-    found = simhash_dedup.near_duplicates(docs)
+    found = simhash_dedup.near_duplicates(docs, prints=PRINTS)
     gone = cut(found.where("doc_id <> component_id").select("doc_id").distinct(), "near-duplicates")
     few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(docs.columns)
