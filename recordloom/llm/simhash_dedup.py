@@ -20,14 +20,19 @@ The join verifies the distance and keeps a pair only under the first rule that
 finds it, so close pairs aren't emitted once for each key they share. Equal
 fingerprints are one class before the join; its members are never paired.
 
+Several fingerprints, of the same hashes mixed anew, may be taken of each text, which
+then link if they do in any of them: near copies whose distance in one fingerprint
+happens to be 5 or 6 are close enough in another.
+
 Nulls and empty texts have fingerprint zero and link like any other. A null
 doc_id belongs to its class, but never names a component unless all ids are null.
+Repeated rows are of one class. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -35,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import cut, table
+from recordloom.llm.common import cut, in_parts, table
 from recordloom.llm.components import components
 
 DISTANCE = 4
@@ -47,33 +52,51 @@ PAIRS = ((0, 1), (0, 2), (1, 2))
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
-def fingerprint(text: str | None, words: int = 4) -> int:
-    """The 64-bit SimHash of a text's word shingles, repeats included."""
+def _mixed(hashes: np.ndarray, number: int) -> np.ndarray:
+    """The hashes themselves for number 0, else other hashes made of them."""
+    if not number:
+        return hashes
+    h = hashes + np.uint64(number * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return h ^ h >> np.uint64(31)
+
+
+def fingerprints(text: str | None, words: int = 4, prints: int = 1) -> list[int]:
+    """64-bit SimHashes of a text's word shingles, repeats included."""
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
-        return 0
+        return [0] * prints
     joined = b" ".join(tokens)
     ends = (np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1).tolist()
     starts = [0, *(e + 1 for e in ends[:-1])]
     n = max(1, len(tokens) - words + 1)
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts[:n], ends[-n:])), np.uint64, n)
-    planes = hashes.astype(">u8").view(np.uint8).reshape(n, 8)
-    if n < 400:
-        set_bits = np.unpackbits(planes, axis=1).sum(axis=0, dtype=np.int64)
-    else:
-        set_bits = np.concatenate([np.bincount(planes[:, k], minlength=256) @ _BYTE_BITS for k in range(8)])
-    return int.from_bytes(np.packbits(2 * set_bits > n).tobytes(), "big")
+    hashes, out = np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts[:n], ends[-n:])), np.uint64, n), []
+    for number in range(prints):
+        planes = _mixed(hashes, number).astype(">u8").view(np.uint8).reshape(n, 8)
+        if n < 400:
+            set_bits = np.unpackbits(planes, axis=1).sum(axis=0, dtype=np.int64)
+        else:
+            set_bits = np.concatenate([np.bincount(planes[:, k], minlength=256) @ _BYTE_BITS for k in range(8)])
+        out.append(int.from_bytes(np.packbits(2 * set_bits > n).tobytes(), "big"))
+    return out
+
+
+def fingerprint(text: str | None, words: int = 4) -> int:
+    return fingerprints(text, words)[0]
 
 
-def fingerprint_column(text: Column, words: int = 4) -> Column:
-    """The fingerprint as a signed long."""
+def fingerprint_columns(text: Column, words: int = 4, prints: int = 1) -> Column:
+    """Struct of the fingerprints fp0, fp1, ... as signed longs."""
+    names = [f"fp{k}" for k in range(prints)]
 
-    @F.pandas_udf("bigint")
-    def prints(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t, words) for t in texts], dtype=np.uint64).view(np.int64))
+    @F.pandas_udf(", ".join(f"{n} bigint" for n in names))
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in in_parts(batches):
+            yield pd.DataFrame(np.array([fingerprints(t, words, prints) for t in texts], dtype=np.uint64).view(np.int64), columns=names)
 
-    return prints(F.coalesce(text, F.lit("")))
+    return of(F.coalesce(text, F.lit("")))
 
 
 @cache
@@ -149,18 +172,26 @@ def links(classes: DataFrame) -> DataFrame:
     return found.select("u", "v").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of each row; component_id is the smallest id reachable by links."""
-    printed = cut(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), fingerprint_column(F.col(text_col), words).alias("fp")), "fingerprints")
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, prints: int = 1) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of each row; component_id is the smallest id reachable by links in any of `prints` fingerprints."""
+    names = [f"fp{k}" for k in range(prints)]
+    printed = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), fingerprint_columns(F.col(text_col), words, prints).alias("r"))
+    printed = cut(printed.select("doc_id", "r.*"), "fingerprints")
     # A class is named by its smallest id; a class with null ids alone is named below all ids, and so by no id.
-    classes = cut(printed.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "classes")
-    # The node's name must be unique: repeated ids may stand in several classes, so nodes are fingerprints.
-    nodes = classes.select(F.col("fp").alias("rep"), "fp")
-    found = components(links(nodes))
-    rooted = classes.join(found, classes["fp"] == found["node"], "left").select("fp", "doc_id", F.coalesce("root", "fp").alias("root"))
+    # Repeated ids may stand in several classes, so nodes have numbers of their own.
+    classes = cut(printed.groupBy(*names).agg(F.min("doc_id").alias("doc_id")).withColumn("node", F.monotonically_increasing_id()), "classes")
+    edges = []
+    for name in names:
+        reps = classes.groupBy(F.col(name).alias("fp")).agg(F.min("node").alias("rep"))
+        if prints > 1:
+            reps = cut(reps, "reps")
+            edges.append(classes.select(F.col(name).alias("fp"), F.col("node").alias("u")).join(reps, "fp").select("u", F.col("rep").alias("v")).where("u <> v"))
+        edges.append(links(reps))
+    found = components(reduce(DataFrame.union, edges))
+    rooted = classes.join(found, "node", "left").select(*names, "doc_id", F.coalesce("root", "node").alias("root"))
     named = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_class = rooted.join(named, "root").select("fp", "component_id")
-    return printed.join(of_class, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of_class = rooted.join(named, "root").select(*names, "component_id")
+    return printed.join(of_class, names).select("doc_id", F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ from recordloom.llm.letters import letters, slices
 
 #: Lengths of the n-grams, and bits of their hashes.
 ORDERS = (4, 5)
-HASH_BITS = 19
+HASH_BITS = 18
 #: Labelled texts of each class that the model is fitted on at most.
 SAMPLE = 8_192
 #: Weight of the squared weights; steps of the fit at most; partitions that the bounded sample's features are in.
@@ -44,26 +44,41 @@ SMOOTHING, SHRINK = 4.0, 25.0
 _PACK = 512
 
 
-def hits(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, feature) of each text's distinct n-grams."""
-    found = []
-    for owners, pieces in slices(texts):
-        chars, sizes = letters(pieces)
-        owner = np.repeat(np.arange(len(pieces), dtype=np.int32), sizes)
-        h, own = np.zeros(len(chars), dtype=np.uint32), []
-        for k in range(max(ORDERS)):
-            if k + 1 > len(chars):
-                break
-            h = h[: len(chars) - k] * np.uint32(0x01000193) + chars[k:] * np.uint32(0x9E3779B1)
-            if k + 1 not in ORDERS:
-                continue
+def _slots(pieces: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each order, the hashes of all n-grams of the pieces, one piece after another, and each piece's number of them."""
+    chars, sizes = letters(pieces)
+    ends, h = np.cumsum(sizes), np.zeros(len(chars), dtype=np.uint32)
+    for k in range(max(ORDERS)):
+        if k + 1 > len(chars):
+            break
+        h = h[: len(chars) - k] * np.uint32(0x01000193) + chars[k:] * np.uint32(0x9E3779B1)
+        if k + 1 in ORDERS:
             slot = ((h ^ h >> np.uint32(15)) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - HASH_BITS)
-            whole = owner[: len(h)] == owner[k:]
-            own.append(owners[owner[: len(h)][whole]].astype(np.int64) << 32 | slot[whole])
-        if own:
-            found.append(np.unique(np.concatenate(own)))
-    pairs = np.unique(np.concatenate(found)) if len(found) > 1 else found[0] if found else np.zeros(0, np.int64)
-    return pairs >> 32, pairs & 0xFFFFFFFF
+            whole = np.ones(len(h), dtype=bool)
+            for j in range(k):  # those that reach into the next piece
+                at = ends[:-1] - 1 - j
+                whole[at[(at >= 0) & (at < len(whole))]] = False
+            yield slot[whole].astype(np.int32), np.maximum(sizes - k, 0)
+
+
+def distinct(texts: list[str]) -> list[np.ndarray]:
+    """Of each text the hashes of its n-grams, each once, in no order.
+
+    Every hash writes its place in a table, and stays if it is still there: the last of equal ones.
+    """
+    out: list[list[np.ndarray]] = [[] for _ in texts]
+    table = np.zeros(1 << HASH_BITS, dtype=np.int32)
+    for owners, pieces in slices(texts):
+        found = list(_slots(pieces))
+        bounds = [np.concatenate([[0], np.cumsum(sizes)]) for _, sizes in found]
+        for k, owner in enumerate(owners):
+            own = [slot[b[k] : b[k + 1]] for (slot, _), b in zip(found, bounds)]
+            if own and (codes := np.concatenate(own)).size:
+                place = np.arange(len(codes), dtype=np.int32)
+                table[codes] = place
+                out[owner].append(codes[table[codes] == place])
+    none = np.zeros(0, np.int32)
+    return [none if not o else o[0] if len(o) == 1 else np.unique(np.concatenate(o)) for o in out]
 
 
 @dataclass
@@ -76,8 +91,7 @@ class Classifier:
     def score(self, texts: list[str | None]) -> np.ndarray:
         z = np.full(len(texts), self.intercept)
         if self.weights.any():
-            rows, cols = hits(["" if t is None else t for t in texts])
-            z += np.bincount(rows, weights=self.weights[cols], minlength=len(texts))
+            z += [self.weights[codes].sum() for codes in distinct(["" if t is None else t for t in texts])]
         return 1 / (1 + np.exp(-np.clip(z, -700, 700)))
 
 
@@ -148,11 +162,11 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in in_parts(batches, _PACK):
-            number, feature = hits(b["text"].tolist())
-            sizes = np.bincount(number, minlength=len(b))
-            yield pd.DataFrame({"codes": [feature.astype("<i4").tobytes()], "sizes": [sizes.astype("<i4").tobytes()], "y": [b["y"].to_numpy("<f8").tobytes()]})
+            own = distinct(b["text"].tolist())
+            sizes = np.array([len(codes) for codes in own])
+            yield pd.DataFrame({"codes": [np.concatenate(own).astype("<i4").tobytes()], "sizes": [sizes.astype("<i4").tobytes()], "y": [b["y"].to_numpy("<f8").tobytes()]})
 
-    packed = cut(rows.repartition(PARTITIONS, "key").mapInPandas(pack, "codes binary, sizes binary, y binary"), "labelled-features")
+    packed = cut(rows.repartition(PARTITIONS).mapInPandas(pack, "codes binary, sizes binary, y binary"), "labelled-features")
 
     def opened(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         for b in batches:

@@ -391,7 +391,7 @@ def test_empty_tables(spark, docs, labels):
     assert secret_scan.scan_history(none, secret_scan.new_ledger(spark)).count() == 0
     assert simhash_dedup.near_duplicates(none).count() == 0
     assert piece_bpe.round_trip(none).count() == 0
-    assert context_mixing.score_texts(none, none).count() == 0
+    assert context_mixing.score_texts(none, F.lit(True)).count() == 0
     assert bin_slack.packed(none).count() == 0
     assert token_counts.length_histogram(none).count() == 0
     assert toxicity.train(none, labels).score([None]).max() < 0.5
