@@ -218,7 +218,7 @@ def test_piece_columns(spark):
 
 
 def test_context_mixing(spark, docs, rows):
-    got = {(r["doc_id"], r["n_tokens"], round(r["base_score"], 6)): r for r in context_mixing.score_texts(docs, docs.where("doc_id % 2 = 0"), keep=("lang",)).collect()}
+    got = {(r["doc_id"], r["n_tokens"], round(r["base_score"], 6)): r for r in context_mixing.score_texts(docs, F.col("doc_id") % 2 == 0, keep=("lang",)).collect()}
     lower = lambda t: (t or "").encode().lower()
     training = Counter()
     for i, t, _ in rows:
@@ -232,24 +232,6 @@ def test_context_mixing(spark, docs, rows):
         assert r["n_known"] == sum(training[w] > 0 for w in tokens) and r["train_tokens"] == n and r["score"] < 0
 
 
-def test_mixer_probabilities_sum_to_one():
-    text = [b"the house on the hill " * 50]
-    codes, _ = context_mixing._events(text)
-    events, n = np.unique(codes, return_counts=True)
-    size = 2 * int(context_mixing._BASE[-1])
-    counts = np.zeros(size)
-    for _, bit, slots, _ in context_mixing._slots(events):
-        counts += np.bincount((slots << 1 | bit).ravel(), weights=np.tile(n, context_mixing.ORDERS), minlength=size)
-    mixer = context_mixing.Mixer(context_mixing._packed(counts).reshape(-1, 2))
-    mixer.learn(events, n.astype(float))
-    context = np.uint64(int.from_bytes(b" hous", "big")) << np.uint64(8)
-    p = 10 ** mixer.log10(context | np.arange(256, dtype=np.uint64))
-    assert abs(p.sum() - 1) < 1e-6 and p[ord("e")] > 0.5
-    long = [b"ab" * (context_mixing._BLOCK // 2 + 10), b"", b"the"]
-    whole = mixer.scores(long)
-    assert abs(whole[2] - mixer.scores([b"the"])[0]) < 1e-9 and abs(whole[0] - mixer.log10(context_mixing._events(long[:1])[0]).sum()) < 1e-3
-
-
 def test_language(spark, docs, rows):
     model = language_id.train(docs)
     got = docs.select("doc_id", "text", language_id.predicted(F.col("text"), model).alias("r")).select("doc_id", "text", "r.*").collect()
@@ -403,34 +385,6 @@ def test_remainders():
     assert common.remainder_of(None, 7) == 0 and common.remainder_of(12, 5) == zlib.crc32(b"12") % 5
 
 
-def test_context_counts_are_exact():
-    """Unrelated contexts share slots of a table of fixed size; the counts must hold them apart."""
-    rng = np.random.default_rng(3)
-    codes = np.unique(rng.integers(1 << 40, 1 << 48, 60_000).astype(np.uint64))
-    n = rng.integers(1, 50, len(codes)).astype(float)
-    slots = next(context_mixing._slots(codes))[2][4]
-    assert len(np.unique(slots)) < len(np.unique(codes >> np.uint64(8)))  # the case at hand: hashed nodes meet
-    short = [context_mixing.Counts(context_mixing._key(codes, k), n) for k in (1, 2)]
-    nodes = context_mixing.Nodes(short, codes, n)
-    some = np.concatenate([codes[:300], codes[:50] ^ np.uint64(5)])
-    for j, (bit, path, got) in enumerate(nodes.bits(some)):
-        for k in (1, 3, 5):
-            want = Counter()
-            for c, m in zip(context_mixing._key(codes, k).tolist(), n):
-                want[c >> (7 - j)] += m
-            for i, c in enumerate(context_mixing._key(some, k).tolist()):
-                node = c >> (8 - j) << 1
-                assert (got[k - 1, i, 0], got[k - 1, i, 1]) == (want[node], want[node | 1])
-
-
-def test_context_scores_of_broadcast_and_joined_events_agree(spark, docs, monkeypatch):
-    training = docs.where("doc_id % 2 = 0")
-    scores = lambda: sorted((str(r["doc_id"]), round(r["score"], 6)) for r in context_mixing.score_texts(docs, training).collect())
-    all_known = scores()
-    monkeypatch.setattr(context_mixing, "EVENT_HEAD", 40)
-    assert scores() == all_known
-
-
 def test_language_keeps_rare_languages(spark, docs, monkeypatch):
     rare = spark.createDataFrame([(900, "ĝis revido amiko ĉiam ŝanĝiĝas", "eo")], "doc_id bigint, text string, lang string")
     both = docs.select("doc_id", "text", "lang").union(rare)
