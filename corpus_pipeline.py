@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.llm import bin_slack, language_id, secret_scan, simhash_dedup, toxicity
-from recordloom.llm.common import cut, remainder, table
+from recordloom.llm.common import BATCH_ROWS, cut, remainder, table
 
 #: Ids that go to all executors up to this many; beyond it rows are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
@@ -37,7 +37,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     source = table(spark, sf_dir, "documents")
     model = language_id.train(source.where(remainder(F.col("doc_id"), 3) != 1))
     own = _unused(docs, "language")
-    found = docs.withColumn(own, language_id.predicted(F.col("text"), model)).where(~F.col(own)["rejected"])
+    found = cut(docs.withColumn(own, language_id.predicted(F.col("text"), model)).where(~F.col(own)["rejected"]), "languages", BATCH_ROWS)
     return found.withColumn("lang", F.col(own)["lang_pred"]).select(docs.columns)
 
 
@@ -45,7 +45,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are predicted toxic go."""
     source, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.train(source, labels.where(remainder(F.col("doc_id"), 5) != 0))
-    return docs.where(toxicity.scored(F.col("text"), model)["predicted"] == 0)
+    return cut(docs.where(toxicity.scored(F.col("text"), model)["predicted"] == 0), "not-toxic", BATCH_ROWS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,7 +67,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     met = met.withColumn("text", text)
     if "n_chars" in docs.columns:
         met = met.withColumn("n_chars", F.when(F.col(own).isNull(), F.col("n_chars")).otherwise(F.length("text").cast("bigint")))
-    return met.select(docs.columns)
+    return cut(met.select(docs.columns), "redacted", BATCH_ROWS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
