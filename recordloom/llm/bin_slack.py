@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recordloom.llm import byte_bpe
-from recordloom.llm.common import cut, in_parts, table
+from recordloom.llm.common import BATCH_ROWS, cut, in_parts, table
 
 CAPACITY = 2048
 SEPARATOR = 0
@@ -116,7 +116,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
 def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """pieces() with the sequence and the offset in it of each piece."""
     spark = docs.sparkSession
-    rows = cut(pieces(docs, id_col, text_col, path, capacity).withColumn("row", F.monotonically_increasing_id()), "pieces")
+    rows = cut(pieces(docs, id_col, text_col, path, capacity).withColumn("row", F.monotonically_increasing_id()), "pieces", BATCH_ROWS)
     histogram = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
     salts = spark.createDataFrame([(length, max(-(-n // RANKED), min(SPREAD, -(-n // 256)))) for length, n in histogram.items()], "length bigint, salts int")
     salted = rows.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("row"), F.col("salts")).cast("int")).drop("salts")

@@ -15,22 +15,38 @@ import tempfile
 import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager, nullcontext
 from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that a Python worker looks at together. What it is sent at a time Spark bounds by bytes (64 MB of Arrow).
+#: Rows of texts that a Python worker is sent and looks at together; with texts of some MB they still fit in it.
 BATCH_ROWS = 256
+_BATCHES = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """While it lasts, what runs sends Python workers so many rows at a time; then the session's own setting holds again.
+
+    Plans are lazy, so only what runs inside is bounded: operators that send texts to Python write their results inside, by cut().
+    """
+    before = spark.conf.get(_BATCHES)
+    spark.conf.set(_BATCHES, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCHES, before)
+
+
 def in_parts(batches: Iterator[pd.Series | pd.DataFrame], rows: int = BATCH_ROWS) -> Iterator[pd.Series | pd.DataFrame]:
-    """The batches in parts of few rows, so that what is made of them stays small; no session setting is touched."""
+    """The batches in parts of few rows, so that what is made of them stays small where the session sends more."""
     for b in batches:
         for at in range(0, len(b), rows):
             yield b.iloc[at : at + rows]
@@ -55,11 +71,12 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir(spark.sparkContext.applicationId)
 
 
-def cut(df: DataFrame, what: str) -> DataFrame:
-    """Write df to the shared folder and read it back: a lost executor costs no recomputation."""
+def cut(df: DataFrame, what: str, rows: int | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back: a lost executor costs no recomputation. rows: see small_batches()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/recordloom/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(spark, rows) if rows else nullcontext():
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -49,7 +49,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import cut, in_parts, local, remainder, table
+from recordloom.llm.common import BATCH_ROWS, cut, in_parts, local, remainder, table
 
 ORDERS = 5
 #: Words whose counts are broadcast at most.
@@ -494,7 +494,7 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
     Columns: doc_id, those of `keep`, n_tokens, n_known, train_tokens, base_score, score, total_bits, bits_per_byte.
     """
     spark = docs.sparkSession
-    counts = cut(corpus_counts(docs, text_col, learn), "counts")
+    counts = cut(corpus_counts(docs, text_col, learn), "counts", 4 * BATCH_ROWS)
     words = cut(counts.where("word is not null").groupBy("word").agg(F.sum("n").alias("c")), "words")
     events = cut(counts.where("code is not null").groupBy("code").agg(F.sum("n").alias("n")), "events")
     n_all, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
@@ -529,7 +529,7 @@ def score_texts(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col
             yield out
 
     scored = docs.select(F.col(id_col).alias("doc_id"), *keep, F.monotonically_increasing_id().alias("row"), of(F.coalesce(F.col(text_col), F.lit(""))).alias("r"))
-    scored = cut(scored.select("doc_id", *keep, "row", "r.*"), "scored")
+    scored = cut(scored.select("doc_id", *keep, "row", "r.*"), "scored", BATCH_ROWS)
     shared.destroy()
     rare = scored.select("row", F.explode(F.arrays_zip("tail", "tail_n")).alias("t")).select("row", F.col("t.tail").alias("word"), F.col("t.tail_n").alias("k"))
     met = rare.join(words, "word").groupBy("row").agg(F.sum("k").alias("n_tail"), F.sum(F.col("k") * F.log10(F.col("c") + 1)).alias("tail_log"))

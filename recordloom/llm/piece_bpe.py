@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import in_parts, table
+from recordloom.llm.common import BATCH_ROWS, cut, in_parts, table
 from recordloom.llm.memo import Memo
 
 SPACE = "▁"
@@ -205,7 +205,8 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for texts in in_parts(batches):
             yield pd.DataFrame([own.digest(t) for t in texts], columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), digests(F.coalesce(F.col(text_col), F.lit(""))).alias("r")).select("doc_id", "r.*")
+    found = docs.select(F.col(id_col).alias("doc_id"), digests(F.coalesce(F.col(text_col), F.lit(""))).alias("r")).select("doc_id", "r.*")
+    return cut(found, "pieces", BATCH_ROWS)
 
 
 def op4_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import cut, in_parts, shared_dir, table
+from recordloom.llm.common import cut, in_parts, shared_dir, small_batches, table
 
 #: A change to the rules below needs a new version.
 RULE_VERSION = "1"
@@ -147,7 +147,8 @@ def scan_history(docs: DataFrame, ledger: str, id_col: str = "doc_id", text_col:
             parted.append(met.where("n > 1").select("blob", "text").dropDuplicates(["blob"]))  # equal rows of equal ids
         for to_scan in parted:
             scanned = to_scan.select("blob", findings(F.col("text")).alias("r")).select("blob", F.lit(rule_version).alias("rule_version"), "r.*")
-            scanned.write.mode("append").parquet(ledger)
+            with small_batches(spark):
+                scanned.write.mode("append").parquet(ledger)
     return paths.join(read_ledger(spark, ledger, rule_version), "blob").select("doc_id", "blob", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import cut, in_parts, table
+from recordloom.llm.common import BATCH_ROWS, cut, in_parts, table
 from recordloom.llm.components import components
 
 DISTANCE = 4
@@ -176,7 +176,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, fingerprint, component_id) of each row; component_id is the smallest id reachable by links in any of `prints` fingerprints."""
     names = [f"fp{k}" for k in range(prints)]
     printed = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), fingerprint_columns(F.col(text_col), words, prints).alias("r"))
-    printed = cut(printed.select("doc_id", "r.*"), "fingerprints")
+    printed = cut(printed.select("doc_id", "r.*"), "fingerprints", BATCH_ROWS)
     # A class is named by its smallest id; a class with null ids alone is named below all ids, and so by no id.
     # Repeated ids may stand in several classes, so nodes have numbers of their own.
     classes = cut(printed.groupBy(*names).agg(F.min("doc_id").alias("doc_id")).withColumn("node", F.monotonically_increasing_id()), "classes")

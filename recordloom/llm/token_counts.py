@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recordloom.llm import byte_bpe
-from recordloom.llm.common import cut, in_parts, table
+from recordloom.llm.common import BATCH_ROWS, cut, in_parts, table
 
 #: Lengths in a block; suffix sums are made within blocks, and over blocks.
 BLOCK = 4096
@@ -39,7 +39,7 @@ def length_histogram(docs: DataFrame, text_col: str = "text", path: str | None =
     share_le: the part of the documents of that length or less.
     """
     counted = docs.select(n_tokens(F.col(text_col), path).alias("length")).groupBy("length").agg(F.count("*").alias("n_docs"))
-    counted = cut(counted.withColumn("n_tokens", F.col("length") * F.col("n_docs")), "lengths")
+    counted = cut(counted.withColumn("n_tokens", F.col("length") * F.col("n_docs")), "lengths", BATCH_ROWS)
     block = F.floor(F.col("length") / BLOCK).cast("bigint").alias("block")
     blocks = counted.groupBy(block).agg(F.sum("n_docs").alias("docs"), F.sum("n_tokens").alias("tokens"))
     later = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import cut, in_parts, local, remainder, table
+from recordloom.llm.common import BATCH_ROWS, cut, in_parts, local, remainder, table
 from recordloom.llm.letters import letters, slices
 
 #: Lengths of the n-grams, and bits of their hashes.
@@ -166,7 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
             sizes = np.array([len(codes) for codes in own])
             yield pd.DataFrame({"codes": [np.concatenate(own).astype("<i4").tobytes()], "sizes": [sizes.astype("<i4").tobytes()], "y": [b["y"].to_numpy("<f8").tobytes()]})
 
-    packed = cut(rows.repartition(PARTITIONS).mapInPandas(pack, "codes binary, sizes binary, y binary"), "labelled-features")
+    packed = cut(rows.repartition(PARTITIONS).mapInPandas(pack, "codes binary, sizes binary, y binary"), "labelled-features", _PACK)
 
     def opened(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         for b in batches:
@@ -225,4 +225,4 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = remainder(F.col("doc_id"), 5) == 0
     model = train(docs, labels.where(~held_out))
-    return docs.select("doc_id", held_out.alias("held_out"), scored(F.col("text"), model).alias("r")).select("doc_id", "held_out", "r.*")
+    return cut(docs.select("doc_id", held_out.alias("held_out"), scored(F.col("text"), model).alias("r")).select("doc_id", "held_out", "r.*"), "toxicity", BATCH_ROWS)
