@@ -33,6 +33,13 @@ def assert_key(df: DataFrame, key: str) -> DataFrame:
     return df
 
 
+def assert_reference(df: DataFrame, key: str, other: DataFrame, other_key: str) -> DataFrame:
+    """df, if each of its keys is one of other's."""
+    if df.join(other.select(F.col(other_key).alias(key)).distinct(), key, "left_anti").limit(1).count():
+        raise ValueError(f"{key} has values that {other_key} lacks")
+    return df
+
+
 def duplicated(df: DataFrame, keys: list[str]) -> DataFrame:
     """All rows whose key occurs more than once."""
     several = df.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")

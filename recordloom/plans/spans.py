@@ -91,6 +91,15 @@ def split_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.array_join("parts", " ").alias("parts"), F.size("parts").alias("n"))
 
 
+@query(r"""WITH w AS (SELECT doc_id, unnest(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) AS word FROM documents),
+m AS (SELECT *, length(regexp_extract(word, '^[\p{L}\p{N}]*')) AS first, length(word) - length(replace(word, '-', '')) AS hyphens, length(word) - length(replace(word, chr(39), '')) AS apostrophes FROM w)
+SELECT doc_id, count(*) AS n, sum(CASE WHEN first < length(word) THEN first END)::BIGINT AS before_marks, sum(hyphens)::BIGINT AS hyphens, sum(apostrophes)::BIGINT AS apostrophes FROM m GROUP BY doc_id""")
+def word_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = F.col("word")
+    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.tokens(F.col("text"))).alias("word"))
+    return words.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(T.first_mark(w)).cast("bigint").alias("before_marks"), F.sum(T.times(w, "-")).cast("bigint").alias("hyphens"), F.sum(T.times(w, "'")).cast("bigint").alias("apostrophes"))
+
+
 @query(f"WITH RECURSIVE {_SPANS} SELECT doc_id, n::INTEGER AS n_words, count(*) AS n, count(DISTINCT string) AS n_distinct, max(string_id)::INTEGER AS last_id FROM candidates GROUP BY 1, 2")
 def ngram_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = T.candidates(_tagged(spark, sf_dir), "doc_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recordloom.functions import similarity as S
 from recordloom.operators import records as R
 from recordloom.operators import split as P
 from recordloom.operators import stats as A
@@ -93,6 +94,16 @@ def binary_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.binary_code(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_linestatus"), "l_linestatus", "code").select("l_orderkey", "l_linenumber", "code")
 
 
+@query("SELECT quality, toxic, count(*) AS n, round(count(*) / (SELECT count(*) FROM labels), 6) AS share FROM labels GROUP BY 1, 2")
+def class_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.distribution(table(spark, sf_dir, "labels"), "quality", "toxic").withColumn("share", F.round("share", 6))
+
+
+@query("SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], list_reverse(embedding)::DOUBLE[]), 5) AS product FROM embeddings")
+def dot_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(S.dot(F.col("embedding"), F.reverse("embedding")), 5).alias("product"))
+
+
 @query("SELECT 'c' || (row_number() OVER (ORDER BY c_custkey) - 1) AS id, c_custkey, c_name FROM customer")
 def generated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.with_key(P.ranked_by(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), ["c_custkey"], "n"), "c", "n")

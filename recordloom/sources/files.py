@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from recordloom.operators.records import nulled
+from recordloom.operators.records import assert_key, assert_reference, nulled
 from recordloom.operators.split import ranked_by
 
 
@@ -16,6 +16,14 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = N
     return (reader.schema(schema) if schema else reader).csv(path)
 
 
+def read_keyed(spark: SparkSession, path: str, key: str, schema: StructType | str | None = None, references: dict[str, tuple[DataFrame, str]] | None = None) -> DataFrame:
+    """A CSV whose key is unique, and whose columns named in references are keys of other tables: {column: (table, its key)}."""
+    rows = assert_key(read_csv(spark, path, schema), key)
+    for column, (other, other_key) in (references or {}).items():
+        assert_reference(rows, column, other, other_key)
+    return rows
+
+
 def read_tsv(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
     """All strings, with marks of missing values as nulls."""
     rows = read_csv(spark, path, separator="\t", header=header)

@@ -284,3 +284,22 @@ def test_missed_pairs_fall_back_to_common_items(spark):
     candidates = spark.createDataFrame([(1, 7)], "l_id int, r_id int")
     got = [tuple(r) for r in B.missed_pairs(left, right, candidates, "id", "id", "w").collect()]
     assert [g[:2] for g in got] == [(2, 7), (2, 8), (1, 8)] and abs(got[0][2] - 0.25) < 1e-9 and abs(got[1][2] - 0.2) < 1e-9
+
+
+def test_pair_features_by_type(spark):
+    df = spark.createDataFrame([("Alien", 1979, ["a"], "Alien 3", 1992, ["a", "b"]), (None, 1, None, "x", 1, [])], "l_title string, l_year int, l_cast array<string>, r_title string, r_year int, r_cast array<string>")
+    schema = spark.createDataFrame([], "title string, year int, cast array<string>, id string").schema
+    made = S.pair_features(schema, without=("id",))
+    assert set(made) == {"title_lev", "title_words", "title_grams", "title_same", "year_near", "year_same", "cast_set"}
+    got = df.select(*(c.alias(n) for n, c in made.items())).collect()
+    assert got[0]["title_words"] == 0.5 and got[0]["cast_set"] == 0.5 and got[0]["year_same"] == 0 and got[1]["title_lev"] is None and got[1]["year_near"] == 1.0 and got[1]["cast_set"] is None
+
+
+def test_keys_and_references(spark, tmp_path):
+    (tmp_path / "c.csv").write_text("id,l_id\n1,a0\n2,a1\n")
+    a = spark.createDataFrame([("a0",), ("a1",)], "id string")
+    assert files.read_keyed(spark, str(tmp_path / "c.csv"), "id", references={"l_id": (a, "id")}).count() == 2
+    with pytest.raises(ValueError):
+        files.read_keyed(spark, str(tmp_path / "c.csv"), "id", references={"l_id": (a.limit(1), "id")})
+    assert values(spark, T.first_mark(F.col("t")), [("ab-c",), ("abc",), ("'s",)], "t string") == [2, None, 0]
+    assert values(spark, S.dot(F.col("a"), F.col("b")), [([1.0, 2.0], [3.0, 4.0])], "a array<double>, b array<double>") == [11.0]
