@@ -138,4 +138,5 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
 
 
 def op8_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place; a null text is one piece, the separator."""
     return packed(table(spark, sf_dir, "documents"))

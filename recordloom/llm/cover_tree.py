@@ -388,4 +388,5 @@ FROM rows r JOIN component c ON c.u = r.vec_id LEFT JOIN counted n ON n.u = r.ve
 
 
 def op10_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector of its label; odd vectors and those without a label are alone."""
     return near_duplicates(table(spark, sf_dir, "embeddings"))

@@ -210,4 +210,5 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op4_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded text of every document, digested; null texts are empty, repeated rows have a result each."""
     return round_trip(table(spark, sf_dir, "documents"))

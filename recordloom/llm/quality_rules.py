@@ -204,5 +204,6 @@ def judged(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_col:
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and verdict of every document; null texts have no words, so the base rule fails them."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return judged(docs, learn(docs, labels)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")

@@ -195,4 +195,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint and component of every document; null texts are empty, rows of no id stay without one."""
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -66,4 +66,5 @@ def quantile(histogram: DataFrame, share: float) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The histogram of all documents' encoded lengths; null texts have length 0."""
     return length_histogram(table(spark, sf_dir, "documents"))

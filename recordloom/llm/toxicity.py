@@ -222,6 +222,7 @@ def scored(text: Column, model: Classifier) -> Column:
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity score of every document, learnt from labels not held out; null and empty texts have the score of the intercept."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = remainder(F.col("doc_id"), 5) == 0
     model = train(docs, labels.where(~held_out))
