@@ -38,6 +38,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     model = language_id.train(source.where(remainder(F.col("doc_id"), 3) != 1))
     own = _unused(docs, "language")
     found = cut(docs.withColumn(own, language_id.predicted(F.col("text"), model)).where(~F.col(own)["rejected"]), "languages", BATCH_ROWS)
+    model.close()
     return found.withColumn("lang", F.col(own)["lang_pred"]).select(docs.columns)
 
 
