@@ -41,7 +41,7 @@ PENALTY, STEPS, PARTITIONS = 0.3, 60, 12
 #: Smoothing of the counts, and how far ratios are drawn to zero; with PENALTY by cross-validation on training labels.
 SMOOTHING, SHRINK = 4.0, 25.0
 #: Texts whose features are in one row.
-_PACK = 512
+_PACK = 128
 
 
 def _slots(pieces: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -149,7 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
     spark = docs.sparkSession
     own = labels.select(F.col(id_col).alias("key"), F.col(label_col).cast("int").alias("y")).where("key is not null and y in (0, 1)").groupBy("key").agg(F.max("y").alias("y"))
     texts = docs.select(F.col(id_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    present = cut(own.join(docs.select(F.col(id_col).alias("key")).distinct(), "key"), "labelled")
+    present = cut(own.join(docs.groupBy(F.col(id_col).alias("key")).agg(F.count("*").alias("rows")), "key"), "labelled")
     totals = {r["y"]: r["n"] for r in present.groupBy("y").agg(F.count("*").alias("n")).collect()}
     size = 1 << HASH_BITS
     if len(totals) < 2:
@@ -157,7 +157,10 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
         return Classifier(np.zeros(size), 700.0 if share else -700.0)
     of = lambda y: present.where(F.col("y") == y).orderBy(F.xxhash64("key"), "key").limit(SAMPLE)
     sample = of(0).union(of(1))  # 2 * SAMPLE rows at most
-    rows = texts.join(F.broadcast(sample), "key").groupBy("key", "y").agg(F.max("text").alias("text"))  # one row of each id
+    rows = texts.join(F.broadcast(sample.where("rows = 1")), "key").select("y", "text")
+    if sample.where("rows > 1").limit(1).count():  # one row of each id
+        several = texts.join(F.broadcast(sample.where("rows > 1")), "key").groupBy("key", "y").agg(F.max("text").alias("text"))
+        rows = rows.union(several.select("y", "text"))
     share = {y: totals[y] / min(totals[y], SAMPLE) for y in (0, 1)}
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
