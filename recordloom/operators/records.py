@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import tempfile
-from functools import reduce
+import uuid
+from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,19 +12,25 @@ from pyspark.sql import functions as F
 SENTINELS = ("NA", "null", "not available", "nan", "", "-")
 
 
+@cache
+def _own_dir(application: str) -> str:
+    return tempfile.mkdtemp(prefix="recordloom-")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut in the folder of spark.checkpoint.dir, which outlives lost executors.
+    """df written as a table in the folder of spark.checkpoint.dir, which outlives lost executors, and read back.
 
-    Where none is named, one machine takes a temporary folder, and a cluster is an error.
+    Unlike checkpoint() it runs the plan once. Where no folder is named, one machine takes a temporary one, and a cluster is an error.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        path = spark.conf.get("spark.checkpoint.dir", None)
-        if not path and not context.master.startswith("local"):
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        context.setCheckpointDir(path or tempfile.mkdtemp(prefix="recordloom-"))
-    return df.checkpoint()
+        path = _own_dir(spark.sparkContext.applicationId)
+    path = f"{path}/recordloom/core-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def assert_key(df: DataFrame, key: str) -> DataFrame:

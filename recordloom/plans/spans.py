@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from recordloom.functions import text as T
 from recordloom.functions import words as W
-from recordloom.plans.tables import table
+from recordloom.plans.tables import spread, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -80,7 +80,7 @@ _HITS = lambda names: f"(SELECT DISTINCT doc_id, string_id FROM (SELECT doc_id,
 
 def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as marked-up ones: one word in nine is tagged as a name."""
-    words = table(spark, sf_dir, "documents").select("doc_id", T.tokens(F.col("text")).alias("words")).where(F.size("words") > 0)
+    words = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", T.tokens(F.col("text")).alias("words")).where(F.size("words") > 0)
     marked = F.transform("words", lambda w, i: F.when(i % 9 == 0, F.concat(F.lit(T.START), w, F.lit(T.END))).otherwise(w))
     return words.select("doc_id", F.array_join(marked, " ").alias("text"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from recordloom.functions import money as M
 from recordloom.functions import text as T
-from recordloom.plans.tables import table
+from recordloom.plans.tables import spread, table
 from recordloom.sources import fields, files, web
 
 QUERIES: dict = {}
@@ -28,7 +28,7 @@ def query(sql: str | None = None):
 
 
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text", T.tokens(F.col("text")).alias("words"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", T.tokens(F.col("text")).alias("words"))
 
 
 _W = r"(SELECT doc_id, text, list_filter(string_split_regex(text, '\s+'), lambda w: w <> '') AS words FROM documents)"
