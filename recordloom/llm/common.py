@@ -11,6 +11,7 @@ Conventions that hold for every operator here:
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zlib
@@ -46,10 +47,17 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]
 
 
 def in_parts(batches: Iterator[pd.Series | pd.DataFrame], rows: int = BATCH_ROWS) -> Iterator[pd.Series | pd.DataFrame]:
-    """The batches in parts of few rows, so that what is made of them stays small where the session sends more."""
+    """The batches in parts of few rows, so that what is made of them stays small where the session sends more; then freed memory goes back."""
     for b in batches:
         for at in range(0, len(b), rows):
             yield b.iloc[at : at + rows]
+    trim()
+
+
+def trim() -> None:
+    """Give memory that a worker has freed back to the system: workers live on, and the C library keeps much of it."""
+    if release := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        release(0)
 
 
 def local(df: DataFrame) -> pd.DataFrame:

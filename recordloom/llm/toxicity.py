@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import BATCH_ROWS, cut, in_parts, local, remainder, table
+from recordloom.llm.common import BATCH_ROWS, cut, in_parts, local, remainder, table, trim
 from recordloom.llm.letters import letters, slices
 
 #: Lengths of the n-grams, and bits of their hashes.
@@ -175,6 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
         for b in batches:
             for codes, sizes, y in zip(b["codes"], b["sizes"], b["y"]):
                 yield np.frombuffer(codes, "<i4"), np.frombuffer(sizes, "<i4"), np.frombuffer(y, "<f8")
+        trim()
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n = np.zeros((2, size), dtype=np.int64)
