@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 
 #: Rows of texts that a Python worker is sent and looks at together; with texts of some MB they still fit in it.
 BATCH_ROWS = 256
+#: Bytes of a row group of the tables that cut the lineage; a task that writes holds about one.
+ROW_GROUP = 16 << 20
 _BATCHES = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -84,7 +86,7 @@ def cut(df: DataFrame, what: str, rows: int | None = None) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/recordloom/{what}-{uuid.uuid4().hex}"
     with small_batches(spark, rows) if rows else nullcontext():
-        df.write.parquet(path)
+        df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
