@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import BATCH_ROWS, cut, in_parts, table
+from recordloom.llm.common import BATCH_ROWS, SHUFFLED, cut, in_parts, table
 from recordloom.llm.components import components
 
 DISTANCE = 4
@@ -168,7 +168,7 @@ def links(classes: DataFrame) -> DataFrame:
     first = F.when(parts[0] & parts[1], 0).when(parts[0] & parts[2], 1).when(parts[1] & parts[2], 2)
     equal = [_differ(s, w) == 0 for s, w in SEGMENTS]
     rule = F.coalesce(first, F.when(equal[0], 3).when(equal[1], 4).when(equal[2], 5))
-    found = a.join(b, (a["key"] == b["key"]) & (F.col("a_fp") < F.col("b_fp")) & (_differ() <= DISTANCE) & (rule == F.shiftright(a["key"], 46)))
+    found = a.join(b.hint(SHUFFLED), (a["key"] == b["key"]) & (F.col("a_fp") < F.col("b_fp")) & (_differ() <= DISTANCE) & (rule == F.shiftright(a["key"], 46)))
     return found.select("u", "v").distinct()
 
 
@@ -185,13 +185,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         reps = classes.groupBy(F.col(name).alias("fp")).agg(F.min("node").alias("rep"))
         if prints > 1:
             reps = cut(reps, "reps")
-            edges.append(classes.select(F.col(name).alias("fp"), F.col("node").alias("u")).join(reps, "fp").select("u", F.col("rep").alias("v")).where("u <> v"))
+            edges.append(classes.select(F.col(name).alias("fp"), F.col("node").alias("u")).join(reps.hint(SHUFFLED), "fp").select("u", F.col("rep").alias("v")).where("u <> v"))
         edges.append(links(reps))
     found = components(reduce(DataFrame.union, edges))
-    rooted = classes.join(found, "node", "left").select(*names, "doc_id", F.coalesce("root", "node").alias("root"))
+    rooted = classes.join(found.hint(SHUFFLED), "node", "left").select(*names, "doc_id", F.coalesce("root", "node").alias("root"))
     named = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_class = rooted.join(named, "root").select(*names, "component_id")
-    return printed.join(of_class, names).select("doc_id", F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")
+    of_class = rooted.join(named.hint(SHUFFLED), "root").select(*names, "component_id")
+    return printed.join(of_class.hint(SHUFFLED), names).select("doc_id", F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -394,3 +394,17 @@ def test_language_keeps_rare_languages(spark, docs, monkeypatch):
     model = language_id.train(both)
     assert model.names == ["de", "en", "eo", "fr"] and model.alphabet == whole.alphabet
     assert predictions(model) == predictions(whole) and any("'eo'" in r for r in predictions(model) if r.startswith("(900"))
+
+
+def test_simhash_joins_are_shuffled(spark, docs):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "1g")
+    try:
+        reps = spark.createDataFrame([(p, p) for p in range(40)], "rep bigint, fp bigint")
+        edges = spark.createDataFrame([(k, k + 1) for k in range(40)], "u bigint, v bigint")
+        made = [simhash_dedup.links(reps), components._large_star(edges), components._small_star(edges), *(simhash_dedup.near_duplicates(docs, prints=k) for k in (1, 3))]
+        assert all("SortMergeJoin" in plan(df) and "Broadcast" not in plan(df) for df in made)
+    finally:
+        spark.conf.set(threshold, before)
