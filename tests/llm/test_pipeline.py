@@ -2,6 +2,7 @@
 
 import corpus_pipeline
 
+from recordloom.llm import components, simhash_dedup
 from recordloom.llm.common import cut
 
 #: In the manner of the tables' English.
@@ -38,3 +39,23 @@ def test_clashing_columns_and_nulls(spark, sf_dir):
         assert 1 in kept and 2 in kept and kept[1]["blob"] == 2
         if name == "secret_scan":
             assert kept[2]["text"] == "[secret] " + PROSE and kept[2]["n_chars"] == len(kept[2]["text"]) and kept[None]["text"] is None
+
+
+def test_near_duplicates_stay_off_the_driver(spark, sf_dir, monkeypatch):
+    """Whatever Spark takes for small, the tables of the near-duplicate stage are never sent through the driver."""
+    docs, plans = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
+
+    def noted(df, *args):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df, *args)
+
+    for module in (corpus_pipeline, components, simhash_dedup):
+        monkeypatch.setattr(module, "cut", noted)
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "1g")
+    try:
+        corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir)
+    finally:
+        spark.conf.set(threshold, before)
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
