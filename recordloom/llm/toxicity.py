@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import BATCH_ROWS, cut, in_parts, local, remainder, table, trim
+from recordloom.llm.common import BATCH_ROWS, cut, in_parts, local, remainder, small_batches, table, trim
 from recordloom.llm.letters import letters, slices
 
 #: Lengths of the n-grams, and bits of their hashes.
@@ -40,8 +40,8 @@ SAMPLE = 8_192
 PENALTY, STEPS, PARTITIONS = 0.3, 60, 12
 #: Smoothing of the counts, and how far ratios are drawn to zero; with PENALTY by cross-validation on training labels.
 SMOOTHING, SHRINK = 4.0, 25.0
-#: Texts whose features are in one row.
-_PACK = 128
+#: Texts whose features are in one row, and such rows that a worker gets together: small ones, as each step of the fit reads all of them again.
+_PACK, _PACKS = 32, 8
 
 
 def _slots(pieces: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -81,6 +81,22 @@ def distinct(texts: list[str]) -> list[np.ndarray]:
     return [none if not o else o[0] if len(o) == 1 else np.unique(np.concatenate(o)) for o in out]
 
 
+def gaps(own: list[np.ndarray]) -> bytes:
+    """The sorted hashes of a few texts, one text after another, as gaps: a byte each, and one of 255 more for each 255 in a gap."""
+    keys = np.concatenate([np.sort(codes).astype(np.int64) + (k << HASH_BITS) for k, codes in enumerate(own)])
+    more, rest = np.divmod(np.diff(keys, prepend=0), 255)
+    out = np.full(int(more.sum()) + len(rest), 255, dtype=np.uint8)
+    out[np.cumsum(more + 1) - 1] = rest
+    return out.tobytes()
+
+
+def of_gaps(written: bytes, texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """What gaps() was given: the hashes one after another, and each text's number of them."""
+    raw = np.frombuffer(written, np.uint8)
+    keys = np.cumsum(raw, dtype=np.int32)[raw != 255]
+    return keys & (1 << HASH_BITS) - 1, np.bincount(keys >> HASH_BITS, minlength=texts)
+
+
 @dataclass
 class Classifier:
     """weights: of each hash, times its log ratio; 0 for n-grams that no labelled text has."""
@@ -165,16 +181,15 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in in_parts(batches, _PACK):
-            own = distinct(b["text"].tolist())
-            sizes = np.array([len(codes) for codes in own])
-            yield pd.DataFrame({"codes": [np.concatenate(own).astype("<i4").tobytes()], "sizes": [sizes.astype("<i4").tobytes()], "y": [b["y"].to_numpy("<f8").tobytes()]})
+            yield pd.DataFrame({"codes": [gaps(distinct(b["text"].tolist()))], "y": [b["y"].to_numpy("i1").tobytes()]})
 
-    packed = cut(rows.repartition(PARTITIONS).mapInPandas(pack, "codes binary, sizes binary, y binary"), "labelled-features", _PACK)
+    # However the table's files are split, as many tasks read it as wrote it: each sends the driver numbers for all features.
+    packed = cut(rows.repartition(PARTITIONS).mapInPandas(pack, "codes binary, y binary"), "labelled-features", _PACK).coalesce(PARTITIONS)
 
     def opened(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         for b in batches:
-            for codes, sizes, y in zip(b["codes"], b["sizes"], b["y"]):
-                yield np.frombuffer(codes, "<i4"), np.frombuffer(sizes, "<i4"), np.frombuffer(y, "<f8")
+            for codes, y in zip(b["codes"], b["y"]):
+                yield *of_gaps(codes, len(y)), np.frombuffer(y, "i1")
         trim()
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -186,7 +201,8 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
         some = np.flatnonzero(n.sum(axis=0))
         yield pd.DataFrame({"feature": some, "n0": n[0, some], "n1": n[1, some]})
 
-    counted = local(packed.mapInPandas(count, "feature int, n0 bigint, n1 bigint").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))  # 2^HASH_BITS rows at most
+    with small_batches(spark, _PACKS):
+        counted = local(packed.mapInPandas(count, "feature int, n0 bigint, n1 bigint").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))  # 2^HASH_BITS rows at most
     ratio = np.zeros(size)
     ratio[counted["feature"]] = log_ratios(counted["n0"].to_numpy(), counted["n1"].to_numpy(), *(min(totals[y], SAMPLE) for y in (0, 1)))
 
@@ -199,12 +215,14 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
             for codes, sizes, y in opened(batches):
                 v, more, more_b = loss(codes, sizes, y, np.where(y == 1, share[1], share[0]), w, b)
                 value, g, of_b = value + v, g + more, of_b + more_b
-            yield pd.DataFrame({"value": [value], "g": [g.astype("<f4").tobytes()], "b": [of_b]})
+            if g.any() or of_b:
+                yield pd.DataFrame({"value": [value], "g": [g.astype("<f4").tobytes()], "b": [of_b]})
 
-        parts = packed.mapInPandas(part, "value double, g binary, b double").collect()
+        with small_batches(spark, _PACKS):
+            parts = local(packed.mapInPandas(part, "value double, g binary, b double"))  # PARTITIONS rows at most
         shared.destroy()
-        g = ratio * sum(np.frombuffer(r["g"], "<f4").astype(np.float64) for r in parts) + PENALTY * x[:-1]
-        return sum(r["value"] for r in parts) + PENALTY / 2 * float(x[:-1] @ x[:-1]), np.append(g, sum(r["b"] for r in parts))
+        g = ratio * sum((np.frombuffer(g, "<f4").astype(np.float64) for g in parts["g"]), np.zeros(size)) + PENALTY * x[:-1]
+        return float(parts["value"].sum()) + PENALTY / 2 * float(x[:-1] @ x[:-1]), np.append(g, parts["b"].sum())
 
     start = np.zeros(size + 1)
     start[-1] = np.log(totals[1] / totals[0])

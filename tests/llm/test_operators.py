@@ -408,3 +408,22 @@ def test_simhash_joins_are_shuffled(spark, docs):
         assert all("SortMergeJoin" in plan(df) and "Broadcast" not in plan(df) for df in made)
     finally:
         spark.conf.set(threshold, before)
+
+
+def test_toxicity_steps_send_few_rows(spark, docs, labels, monkeypatch):
+    rng = np.random.default_rng(1)
+    own = [np.zeros(0, np.int32), *(rng.choice(1 << toxicity.HASH_BITS, n, replace=False).astype(np.int32) for n in (1, 3000, 2)), np.array([0, 255, 510, 511, (1 << toxicity.HASH_BITS) - 1], np.int32), np.zeros(0, np.int32)]
+    for some in (own, own[:1]):
+        codes, sizes = toxicity.of_gaps(toxicity.gaps(some), len(some))
+        assert sizes.tolist() == [len(x) for x in some] and codes.tolist() == [c for x in some for c in sorted(x.tolist())]
+    sent, local, size = [], toxicity.local, "spark.sql.files.maxPartitionBytes"
+    monkeypatch.setattr(toxicity, "local", lambda df: sent.append(local(df)) or sent[-1])
+    before = spark.conf.get(size)
+    spark.conf.set(size, "1k")
+    try:
+        whole = toxicity.train(docs, labels)
+    finally:
+        spark.conf.set(size, before)
+    steps = [x for x in sent if "g" in x]
+    assert steps and all(0 < len(x) <= toxicity.PARTITIONS for x in steps)
+    assert np.allclose(whole.weights, toxicity.train(docs, labels).weights, atol=1e-4)
