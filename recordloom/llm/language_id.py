@@ -6,19 +6,20 @@ arrays with their probabilities, broadcast language by language, so the driver
 holds a few languages at a time and a Python worker holds all; a text gets the
 language of the lowest cross-entropy per character.
 
-What follows is calibrated on training texts that the models doing so haven't
-seen: models of the other training texts score one training row in LEFT_OUT, each whole and
-in windows of a few letters, so that short texts count too. A scale and a power
-of the length, of the highest likelihood there, turn the gaps between languages into a
-probability. And of each language it is measured how far its own texts' cross-entropies
-spread, by length. A prediction is rejected if its probability lies below
+What follows is calibrated on all training texts, each as one that the models doing
+so haven't seen: the texts are dealt to FOLDS by their ids, and models of the other folds
+score each of them, whole and in windows of a few letters, so that short texts count too.
+A scale and a power of the length, of the highest likelihood there, turn the gaps between
+languages into a probability. And of each language it is measured how far its own texts'
+cross-entropies spread, by length. A prediction is rejected if its probability lies below
 `REJECT_BELOW`, or if its cross-entropy lies further above the language's mean than
 all but one in a thousand of those texts. The models that predict are of all training texts.
+Sums and counts are taken in Spark, so the driver holds none of the texts' figures.
 
 Null texts and those without a letter are `und`, with score 0, and rejected. Rows
 without language or text teach nothing. With nothing to learn from, every text
 is `und`. Of equally likely languages the first by name is taken. Repeated rows
-count as often as they occur, but once in the calibration. An empty table gives no rows.
+count as often as they occur. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -33,21 +35,25 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import BATCH_ROWS, cut, in_parts, local, remainder, small_batches, table
+from recordloom.llm.common import BATCH_ROWS, cut, in_parts, local, remainder, table
 from recordloom.llm.letters import letters, slices
 
 UNKNOWN = "und"
 REJECT_BELOW = 0.5
 #: Trigrams that the driver makes models of at a time; a language of more is made alone. None is left out.
 MODEL_TRIGRAMS = 1_000_000
-#: One training row in so many is left out of the models that calibrate; texts of them, at most, that do.
-LEFT_OUT, FIT_TEXTS = 10, 2_000
+#: Folds of the training texts: models of the others score each, to calibrate.
+FOLDS = 5
+#: Powers of the length and scales among which the likeliest are taken.
+POWERS, SCALES = np.linspace(0, 1, 11), np.geomspace(0.001, 20, 45)
 #: Characters of the windows of each of these texts.
 WINDOWS = (2, 6, 20, 60)
 #: Share of a language's own texts beyond whose cross-entropy a prediction is rejected, and deviations that are never too far.
 STRANGE, LEAST_FAR = 0.001, 4.0
 _MASK = (1 << 21) - 1
 _SLOTS = 20
+#: Whole texts of a language from which it has a spread of its own, and bins of a step towards a quantile.
+_OWN, _BINS = 20, 1024
 
 
 def _trigrams(chars: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,24 +75,24 @@ def _trigrams(chars: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndar
     return codes[keep], sizes - 1
 
 
-def trigram_counts(docs: DataFrame, text_col: str, lang_col: str, left_out: Column) -> DataFrame:
-    """(lang, code, n, kept) over all rows with text and language; kept: the count without the rows left out."""
+def trigram_counts(docs: DataFrame, text_col: str, lang_col: str, fold: Column) -> DataFrame:
+    """(lang, code, n, n0, n1, ...) over all rows with text and language; n0, n1, ...: the count in each fold."""
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple[str, bool], list] = {}
+        held: dict[tuple[str, int], list] = {}
 
         def merged(parts: list) -> tuple[np.ndarray, np.ndarray]:
             codes, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
             return codes, np.bincount(place, weights=np.concatenate([p[1] for p in parts])).astype(np.int64)
 
         def out() -> Iterator[pd.DataFrame]:
-            for (lang, out), parts in held.items():
+            for (lang, fold), parts in held.items():
                 codes, n = merged(parts)
-                yield pd.DataFrame({"lang": lang, "code": codes, "n": n, "kept": 0 if out else n})
+                yield pd.DataFrame({"lang": lang, "fold": fold, "code": codes, "n": n})
             held.clear()
 
         for b in in_parts(batches):
-            for key, texts in b.groupby(["lang", "out"])["text"]:
+            for key, texts in b.groupby(["lang", "fold"])["text"]:
                 for _, pieces in slices(texts.tolist()):
                     codes, _ = _trigrams(*letters(pieces))
                     parts = held.setdefault(key, [])
@@ -97,8 +103,9 @@ def trigram_counts(docs: DataFrame, text_col: str, lang_col: str, left_out: Colu
                 yield from out()
         yield from out()
 
-    rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), left_out.alias("out")).dropna()
-    return rows.mapInPandas(of, "lang string, code bigint, n bigint, kept bigint").groupBy("lang", "code").agg(F.sum("n").alias("n"), F.sum("kept").alias("kept"))
+    rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), fold.alias("fold")).dropna()
+    of_fold = [F.sum(F.when(F.col("fold") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(FOLDS)]
+    return rows.mapInPandas(of, "lang string, fold int, code bigint, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n"), *of_fold)
 
 
 @dataclass
@@ -236,46 +243,77 @@ class Languages:
         deviation = np.sqrt(long + one / np.maximum(n, 1))
         return (bits - mean > np.where(np.isinf(far), np.inf, np.where(deviation > 0, far, 0) * deviation)) | (bits > np.log2(self.alphabet))
 
-    def calibrate(self, bits: np.ndarray, n: np.ndarray, langs: list[str], whole: np.ndarray) -> None:
-        """Fit scale, power and spread to texts of known language; whole: those that aren't windows."""
-        number = {name: k for k, name in enumerate(self.names)}
-        truth = np.array([number.get(x, -1) for x in langs], dtype=int)
-        some = (n > 0) & (truth >= 0)
-        if not some.any():
-            return
-        bits, n, truth, whole = bits[some], n[some], truth[some], whole[some]
-        best = (-np.inf, 1.0, 1.0)
-        for power in np.linspace(0, 1, 11):
-            for scale in np.geomspace(0.001, 20, 45):
-                self.power, self.scale = float(power), float(scale)
-                p = self.probabilities(bits, n)[np.arange(len(n)), truth]
-                best = max(best, (float(np.log(np.maximum(p, 1e-12)).sum()), self.power, self.scale))
-        _, self.power, self.scale = best
-        own = bits[np.arange(len(n)), truth]
-        pooled = None
-        for k in [-1, *range(len(self.names))]:  # all of them first, for languages with few texts
-            at = truth == k if k >= 0 else truth >= 0
-            if (at & whole).sum() < 20 and k >= 0:
-                # its own mean, or that of all
-                mean = np.average(own[at], weights=n[at]) if at.any() else pooled[0]
-                self.spread[k] = [mean, *pooled[1:]]
-                continue
-            b, m, w = own[at], n[at], whole[at]
-            means = {j: np.average(own[truth == j], weights=n[truth == j]) for j in np.unique(truth[at])}
-            gap = b - np.array([means[j] for j in truth[at]])
-            one = float(np.mean(gap[~w] ** 2 * m[~w])) if (~w).any() else 1.0
-            long = float(np.maximum(np.mean(gap[w] ** 2), 1e-4)) if w.any() else 0.01
-            far = max(LEAST_FAR, float(np.quantile(gap / np.sqrt(long + one / m), 1 - STRANGE)))
-            mean = float(np.average(b, weights=m))
-            if k < 0:
-                pooled = [mean, long, one, far]
-            else:
-                self.spread[k] = [mean, long, one, far]
-
-
-def _windows(text: str, key: str) -> list[str]:
+
+def likelihoods(bits: np.ndarray, n: np.ndarray, truth: np.ndarray) -> np.ndarray:
+    """The log-likelihood of the true languages of some texts at each of POWERS and, within, SCALES."""
+    gap = (bits - bits.min(axis=1, keepdims=True)) * np.log(2)
+    out = []
+    for power in POWERS:
+        z = gap * (n.astype(np.float64) ** power)[:, None]
+        own = z[np.arange(len(n)), truth]
+        out += [np.maximum(-scale * own - np.log(np.exp(-scale * z).sum(axis=1)), np.log(1e-12)).sum() for scale in SCALES]
+    return np.array(out)
+
+
+def quantiles(values: DataFrame, share: float) -> dict[int, float]:
+    """Of each key in (key, x) the exact quantile, between the values of the two ranks next to it.
+
+    Bins are counted, then finer ones in the bin of a rank, until it holds a single value: no task or driver gathers a key's values.
+    """
+    spark, ends, parts = values.sparkSession, {}, {}
+    for key, n, low, high in local(values.groupBy("key").agg(F.count("*").alias("n"), F.min("x"), F.max("x"))).itertuples(index=False):
+        first, parts[key] = divmod((n - 1) * share, 1)
+        for k in (0, 1):
+            ends[key, k] = (min(int(first) + k, n - 1), low, high)
+    names = list(ends)
+    while wanted := [(k, names[k][0], float(low), float(high)) for k, (_, low, high) in enumerate(ends.values()) if low < high]:
+        met = values.join(F.broadcast(spark.createDataFrame(wanted, "rank int, key int, low double, high double")), "key").where("x between low and high")
+        bins = F.least(F.floor((F.col("x") - F.col("low")) / (F.col("high") - F.col("low")) * _BINS), F.lit(_BINS - 1)).alias("bin")
+        found = local(met.groupBy("rank", bins).agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")))
+        for k, group in found.sort_values(["rank", "bin"]).groupby("rank"):
+            below = group["n"].cumsum().to_numpy()
+            rank = ends[names[k]][0]
+            at = int(np.searchsorted(below, rank, side="right"))
+            ends[names[k]] = (rank - (int(below[at - 1]) if at else 0), float(group["low"].iloc[at]), float(group["high"].iloc[at]))
+    return {key: float(ends[key, 0][1] + (ends[key, 1][1] - ends[key, 0][1]) * part) for key, part in parts.items()}
+
+
+def calibrate(model: Languages, scored: DataFrame) -> None:
+    """Fit scale, power and spread to left_out()'s rows."""
+    spark, known = scored.sparkSession, scored.where("lang is not null")
+    gap2 = F.pow(F.col("own") - F.col("mean"), 2)
+    by = local(known.groupBy("lang").agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("own")) / F.sum("n")).alias("mean")))
+    if by.empty:
+        return
+    fit = local(scored.select(F.posexplode("fit").alias("at", "v")).groupBy("at").agg(F.sum("v").alias("v"))).sort_values("at")["v"].to_numpy()
+    power, scale = divmod(len(fit) - 1 - int(np.argmax(fit[::-1])), len(SCALES))
+    model.power, model.scale = float(POWERS[power]), float(SCALES[scale])
+    meant = known.join(F.broadcast(spark.createDataFrame([(r.lang, float(r.mean)) for r in by.itertuples()], "lang string, mean double")), "lang")
+    sums = [F.count_if("whole").alias("texts"), F.count_if(~F.col("whole")).alias("windows"), F.sum(F.when(F.col("whole"), gap2).otherwise(0)).alias("long"), F.sum(F.when(~F.col("whole"), gap2 * F.col("n")).otherwise(0)).alias("one")]
+    by = by.merge(local(meant.groupBy("lang").agg(*sums)), on="lang").set_index("lang")
+
+    def variances(r: pd.Series) -> tuple[float, float]:
+        return (max(r["long"] / r["texts"], 1e-4) if r["texts"] else 0.01), (r["one"] / r["windows"] if r["windows"] else 1.0)
+
+    # all of them together, as number -1, for languages with few texts
+    mean, (long, one) = float(np.average(by["mean"], weights=by["n"])), variances(by.sum())
+    spread = {-1: [mean, long, one]}
+    for k, name in enumerate(model.names):
+        if name in by.index and by.loc[name, "texts"] >= _OWN:
+            spread[k] = [float(by.loc[name, "mean"]), *variances(by.loc[name])]
+    groups = [(k, name, *spread[k][1:]) for k in spread for name in (by.index if k < 0 else [model.names[k]])]
+    met = meant.join(F.broadcast(spark.createDataFrame([(k, name, float(a), float(b)) for k, name, a, b in groups], "key int, lang string, long double, one double")), "lang")
+    far = quantiles(met.select("key", ((F.col("own") - F.col("mean")) / F.sqrt(F.col("long") + F.col("one") / F.col("n"))).alias("x")), 1 - STRANGE)
+    for k, name in enumerate(model.names):
+        own = k if k in spread else -1
+        model.spread[k] = [*spread[own], max(LEAST_FAR, far[own])]
+        if name in by.index:
+            model.spread[k, 0] = by.loc[name, "mean"]
+
+
+def _windows(text: str) -> list[str]:
     """The whole text, and a stretch of each length of WINDOWS from some place in it."""
-    at = zlib.crc32(key.encode())
+    at = zlib.crc32(text.encode("utf-8", "surrogatepass"))
     return [text, *(text[at % max(1, len(text) - w + 1) :][:w] for w in WINDOWS)]
 
 
@@ -300,50 +338,49 @@ def _models(spark: SparkSession, counts: DataFrame, alphabet: int) -> Languages:
     return Languages(names, models, alphabet)
 
 
+def left_out(rows: DataFrame, asker: Languages, names: list[str], alphabet: int) -> DataFrame:
+    """Of (lang, text) the rows (lang, whole, n, own) of each text with a letter and a language that asker knows, and of each of its windows.
+
+    own: bits per character under its language, n: characters. A row of no lang for each task has the likelihoods() of its texts in `fit`.
+    """
+    number, each = {name: k for k, name in enumerate(names)}, len(WINDOWS) + 1
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fit = np.zeros(len(POWERS) * len(SCALES))
+        place, met = [number[x] for x in asker.names], set(asker.names)
+        for b in in_parts(batches):
+            some_bits, n = asker.cross_entropy([w for t in b["text"] for w in _windows(t)])
+            # a language that only these texts have is one that no text resembles
+            bits = np.full((len(n), len(names)), np.log2(alphabet) + 20)
+            bits[:, place] = some_bits
+            langs = np.repeat(b["lang"].to_numpy(object), each)
+            truth = np.array([number[x] if x in met else -1 for x in langs], dtype=int)
+            some = (n > 0) & (truth >= 0)
+            bits, n, langs, truth, whole = bits[some], n[some], langs[some], truth[some], np.tile(np.arange(each) == 0, len(b))[some]
+            if len(n):
+                fit += likelihoods(bits, n, truth)
+                yield pd.DataFrame({"lang": langs, "whole": whole, "n": n, "own": bits[np.arange(len(n)), truth], "fit": None})
+        yield pd.DataFrame({"lang": [None], "whole": [None], "n": [None], "own": [None], "fit": [fit.tolist()]})
+
+    return cut(rows.mapInPandas(of, "lang string, whole boolean, n bigint, own double, fit array<double>"), "left-out", BATCH_ROWS)
+
+
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Languages:
-    """Models of every language in docs, of the counts of all their texts."""
+    """Models of every language in docs, of the counts of all their texts, calibrated on all of them."""
     spark = docs.sparkSession
-    left_out = F.pmod(F.xxhash64(F.col(id_col), F.lit("left out")), F.lit(LEFT_OUT)) == 0
-    counts = cut(trigram_counts(docs, text_col, lang_col, left_out), "trigrams", BATCH_ROWS)
+    fold = F.pmod(F.xxhash64(F.col(id_col), F.lit("left out")), F.lit(FOLDS)).cast("int")
+    counts = cut(trigram_counts(docs, text_col, lang_col, fold), "trigrams", BATCH_ROWS)
     alphabet = counts.select(F.col("code").bitwiseAND(F.lit(_MASK))).distinct().count() + 1
     model = _models(spark, counts, alphabet)
-    if not model.models:
-        return model
-    # The sample: the left-out rows of the least hashes of ids, and of texts among equal ids, whole texts; equal rows once.
-    key = F.struct(F.xxhash64(id_col).alias("h"), F.sha2(text_col, 256).alias("s")).alias("key")
-    labelled = docs.where(left_out).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), key).dropna()
-    last = labelled.select("key").distinct().orderBy("key").limit(FIT_TEXTS).agg(F.max("key")).first()[0]
-    if last is None:
-        return model
-    asker = _models(spark, counts.where("kept > 0").select("lang", "code", F.col("kept").alias("n")), alphabet)
-
-    @F.pandas_udf("bits array<array<double>>, n array<bigint>")
-    def entropies(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for texts, keys in batches:
-            rows = []
-            for at in range(0, len(texts), BATCH_ROWS):
-                some = [_windows(t, k) for t, k in zip(texts.iloc[at : at + BATCH_ROWS], keys.iloc[at : at + BATCH_ROWS])]
-                bits, n = asker.cross_entropy([w for ws in some for w in ws])
-                each = len(WINDOWS) + 1
-                rows += [(list(bits[k : k + each]), n[k : k + each]) for k in range(0, len(n), each)]
-            yield pd.DataFrame(rows, columns=["bits", "n"])
-
-    until = (F.col("key.h") < last["h"]) | ((F.col("key.h") == last["h"]) & (F.col("key.s") <= last["s"]))
-    sample = labelled.where(until).dropDuplicates(["key"])
-    with small_batches(spark):
-        fit = local(sample.select("lang", entropies("text", F.col("key.s")).alias("r")).select("lang", "r.*")) if asker.models else pd.DataFrame()
-    if len(fit):
-        place = {name: k for k, name in enumerate(asker.names)}
-        each = len(WINDOWS) + 1
-        bits = np.array([np.stack(b) for b in fit["bits"]]).reshape(-1, len(asker.names))
-        # a language that only left-out rows have is one that no text resembles
-        full = np.full((len(bits), len(model.names)), np.log2(alphabet) + 20)
-        for k, name in enumerate(model.names):
-            if name in place:
-                full[:, k] = bits[:, place[name]]
-        known = np.repeat([x if x in place else "" for x in fit["lang"]], each).tolist()
-        model.calibrate(full, np.concatenate(fit["n"].to_list()), known, np.tile(np.arange(each) == 0, len(fit)))
-    asker.close()
+    scored = []
+    for k in range(FOLDS if model.models else 0):
+        asker = _models(spark, counts.select("lang", "code", (F.col("n") - F.col(f"n{k}")).alias("n")).where("n > 0"), alphabet)
+        if asker.models:
+            rows = docs.where(fold == k).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).dropna()
+            scored.append(left_out(rows, asker, model.names, alphabet))
+            asker.close()
+    if scored:
+        calibrate(model, reduce(DataFrame.union, scored))
     return model
 
 

@@ -427,3 +427,34 @@ def test_toxicity_steps_send_few_rows(spark, docs, labels, monkeypatch):
     steps = [x for x in sent if "g" in x]
     assert steps and all(0 < len(x) <= toxicity.PARTITIONS for x in steps)
     assert np.allclose(whole.weights, toxicity.train(docs, labels).weights, atol=1e-4)
+
+
+def test_language_is_calibrated_on_all_training_texts(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    words = {"en": "the house on hill is old and garden near".split(), "de": "das haus auf dem hügel ist alt und garten".split()}
+    rows = [(k, " ".join(rng.choice(words[lang], 12)), lang) for k in range(2_600) for lang in [("en", "de")[k % 2]]]
+    rows += [(3_000, None, "en"), (3_001, "12 34", "en"), (3_002, "the house", None)]
+    docs, seen, calibrate = spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), [], language_id.calibrate
+    monkeypatch.setattr(language_id, "calibrate", lambda model, scored: seen.append(scored) or calibrate(model, scored))
+    model = language_id.train(docs)
+    found = seen[0].where("lang is not null").toPandas()
+    assert found[found["whole"]].groupby("lang").size().to_dict() == {"en": 1_300, "de": 1_300}
+    for k, name in enumerate(model.names):
+        own = found[found["lang"] == name]
+        mean = np.average(own["own"], weights=own["n"])
+        gap, whole = own["own"] - mean, own["whole"].astype(bool)
+        long, one = max((gap[whole] ** 2).mean(), 1e-4), (gap[~whole] ** 2 * own["n"][~whole]).mean()
+        far = max(language_id.LEAST_FAR, np.quantile(gap / np.sqrt(long + one / own["n"]), 1 - language_id.STRANGE))
+        assert np.allclose(model.spread[k], [mean, long, one, far])
+    fits = np.sum([r["fit"] for r in seen[0].where("fit is not null").collect()], axis=0).reshape(len(language_id.POWERS), -1)
+    power, scale = np.unravel_index(fits.argmax(), fits.shape)
+    assert (model.power, model.scale) == (language_id.POWERS[power], language_id.SCALES[scale])
+
+
+def test_quantiles(spark):
+    rng = np.random.default_rng(6)
+    values = {1: rng.normal(size=3_000), 2: np.repeat([0.25, 7.0], [5, 3]), 3: np.array([-4.0]), 4: np.append(rng.normal(size=50) * 1e-9, 1e9)}
+    df = spark.createDataFrame([(k, float(x)) for k, xs in values.items() for x in xs], "key int, x double")
+    for share in (0.999, 0.5, 0.0, 1.0):
+        got = language_id.quantiles(df, share)
+        assert all(np.isclose(got[k], np.quantile(xs, share), rtol=1e-9, atol=1e-15) for k, xs in values.items()) and len(got) == len(values)
