@@ -12,10 +12,10 @@ from __future__ import annotations
 import json
 import re
 import struct
-from functools import cache
 
 import numpy as np
 
+from recordloom.llm.common import for_tasks
 from recordloom.llm.memo import Memo
 
 #: ASCII and the Latin letters up to U+024F, on which the pattern below and the library's agree.
@@ -81,6 +81,6 @@ class ByteCodec:
         return b"".join([own[r] for r in text.replace("\n", "\0\n").replace(" ", "\0 ").split("\0")])
 
 
-@cache
+@for_tasks
 def codec(path: str) -> ByteCodec:
     return ByteCodec(path)

@@ -458,3 +458,18 @@ def test_quantiles(spark):
     for share in (0.999, 0.5, 0.0, 1.0):
         got = language_id.quantiles(df, share)
         assert all(np.isclose(got[k], np.quantile(xs, share), rtol=1e-9, atol=1e-15) for k, xs in values.items()) and len(got) == len(values)
+
+
+def test_workers_drop_what_a_task_has_no_use_for(monkeypatch):
+    import pandas as pd
+
+    assert byte_bpe.codec.__wrapped__ in [f.__wrapped__ for f, _ in common._FOR_TASKS]
+    monkeypatch.setattr(common, "_FOR_TASKS", [])
+    made = []
+    model = common.for_tasks(lambda k: made.append(k) or k)
+    task = lambda: list(common.in_parts(iter([pd.DataFrame({"a": [1]})])))
+    for _ in range(2):  # tasks that use it keep it
+        assert model(7) == 7 and len(task()) == 1
+    assert made == [7]
+    task()  # one that doesn't
+    assert model(7) == 7 and made == [7, 7]
