@@ -184,7 +184,7 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
             yield pd.DataFrame({"codes": [gaps(distinct(b["text"].tolist()))], "y": [b["y"].to_numpy("i1").tobytes()]})
 
     # However the table's files are split, as many tasks read it as wrote it: each sends the driver numbers for all features.
-    packed = cut(rows.repartition(PARTITIONS).mapInPandas(pack, "codes binary, y binary"), "labelled-features", _PACK).coalesce(PARTITIONS)
+    packed = cut(rows.repartition(PARTITIONS).mapInPandas(pack, "codes binary, y binary"), "labelled-features", _PACK, scans=True).coalesce(PARTITIONS)
 
     def opened(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         for b in batches:
@@ -198,13 +198,15 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
             owner = np.repeat(y, sizes)
             for k in (0, 1):
                 n[k] += np.bincount(codes[owner == k], minlength=size)
-        some = np.flatnonzero(n.sum(axis=0))
-        yield pd.DataFrame({"feature": some, "n0": n[0, some], "n1": n[1, some]})
+        if n.any():
+            yield pd.DataFrame({"n": [n.astype(kind).tobytes()]})
 
-    with small_batches(spark, _PACKS):
-        counted = local(packed.mapInPandas(count, "feature int, n0 bigint, n1 bigint").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))  # 2^HASH_BITS rows at most
-    ratio = np.zeros(size)
-    ratio[counted["feature"]] = log_ratios(counted["n0"].to_numpy(), counted["n1"].to_numpy(), *(min(totals[y], SAMPLE) for y in (0, 1)))
+    kind = np.min_scalar_type(SAMPLE)  # holds the count of any feature: texts of a class
+    with small_batches(spark, _PACKS, scans=True):
+        parts = local(packed.mapInPandas(count, "n binary"))  # PARTITIONS rows at most
+    n0, n1 = sum((np.frombuffer(n, kind).astype(np.int64) for n in parts["n"]), np.zeros(2 * size, np.int64)).reshape(2, size)
+    some, ratio = n0 + n1 > 0, np.zeros(size)
+    ratio[some] = log_ratios(n0[some], n1[some], *(min(totals[y], SAMPLE) for y in (0, 1)))
 
     def objective(x: np.ndarray) -> tuple[float, np.ndarray]:
         shared = spark.sparkContext.broadcast((ratio * x[:-1], float(x[-1])))
@@ -218,7 +220,7 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
             if g.any() or of_b:
                 yield pd.DataFrame({"value": [value], "g": [g.astype("<f4").tobytes()], "b": [of_b]})
 
-        with small_batches(spark, _PACKS):
+        with small_batches(spark, _PACKS, scans=True):
             parts = local(packed.mapInPandas(part, "value double, g binary, b double"))  # PARTITIONS rows at most
         shared.destroy()
         g = ratio * sum((np.frombuffer(g, "<f4").astype(np.float64) for g in parts["g"]), np.zeros(size)) + PENALTY * x[:-1]
@@ -248,4 +250,4 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = remainder(F.col("doc_id"), 5) == 0
     model = train(docs, labels.where(~held_out))
-    return cut(docs.select("doc_id", held_out.alias("held_out"), scored(F.col("text"), model).alias("r")).select("doc_id", "held_out", "r.*"), "toxicity", BATCH_ROWS)
+    return cut(docs.select("doc_id", held_out.alias("held_out"), scored(F.col("text"), model).alias("r")).select("doc_id", "held_out", "r.*"), "toxicity", BATCH_ROWS, scans=True)

@@ -429,6 +429,35 @@ def test_toxicity_steps_send_few_rows(spark, docs, labels, monkeypatch):
     assert np.allclose(whole.weights, toxicity.train(docs, labels).weights, atol=1e-4)
 
 
+def test_toxicity_counts_features_in_parts(spark, docs, labels, monkeypatch):
+    sent, counted, local, ratios = [], [], toxicity.local, toxicity.log_ratios
+    decoded, before = "spark.sql.parquet.columnarReaderBatchSize", spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")
+    monkeypatch.setattr(toxicity, "local", lambda df: sent.append((int(spark.conf.get(decoded)), local(df))) or sent[-1][1])
+    monkeypatch.setattr(toxicity, "log_ratios", lambda *a: counted.append(a) or ratios(*a))
+    toxicity.train(docs, labels)
+    assert sent and all(0 < len(x) <= toxicity.PARTITIONS and rows <= toxicity._PACK for rows, x in sent) and spark.conf.get(decoded) == before
+    own = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("y"))
+    rows = docs.withColumn("text", F.coalesce("text", F.lit(""))).groupBy("doc_id").agg(F.max("text").alias("text")).join(own, "doc_id").collect()
+    n = np.zeros((2, 1 << toxicity.HASH_BITS), np.int64)
+    for r, codes in zip(rows, toxicity.distinct([r["text"] for r in rows])):
+        n[r["y"], codes] += 1
+    some = n.any(axis=0)
+    n0, n1, *texts = counted[0]
+    assert n0.tolist() == n[0, some].tolist() and n1.tolist() == n[1, some].tolist() and texts == [sum(r["y"] == y for r in rows) for y in (0, 1)]
+
+
+def test_small_batches_of_scans_end_with_them(spark):
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    now = lambda: [spark.conf.get(x) for x in names]
+    before = now()
+    with pytest.raises(KeyError), common.small_batches(spark, 7, scans=True):
+        assert now() == ["7", "7"]
+        raise KeyError
+    assert now() == before
+    with common.small_batches(spark, 7):
+        assert now() == ["7", before[1]]
+
+
 def test_language_is_calibrated_on_all_training_texts(spark, monkeypatch):
     rng = np.random.default_rng(4)
     words = {"en": "the house on hill is old and garden near".split(), "de": "das haus auf dem hügel ist alt und garten".split()}
