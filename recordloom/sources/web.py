@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
+#: Pages whose results are sent back together.
+PAGES = 256
 SKIPPED = {"script", "style", "nav", "aside", "header", "footer", "noscript"}
 
 
@@ -71,15 +75,23 @@ def article(html: str | None) -> tuple[str | None, str | None, int]:
     return p.heading.strip() or None, " ".join(p.body or p.all) or None, p.paragraphs
 
 
-def articles(html: Column) -> Column:
-    """Struct of heading, body and number of paragraphs of each page; nulls where there is none."""
+def by_page(html: Column, read: Callable[[str | None], dict], schema: str) -> Column:
+    """Struct of what is read of each page. A batch stays in Arrow's memory: of its pages one at a time is a string, and its results go in parts."""
+    kind = to_arrow_type(StructType.fromDDL(schema))
+
+    @F.arrow_udf(schema)
+    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for pages in batches:
+            for at in range(0, len(pages), PAGES):
+                yield pa.array((read(h.as_py()) for h in pages.slice(at, PAGES)), kind)
 
-    @F.pandas_udf("heading string, body string, paragraphs int")
-    def parsed(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for p in pages:
-            yield pd.DataFrame([article(h) for h in p], columns=["heading", "body", "paragraphs"])
+    return found(html)
 
-    return parsed(html)
+
+def articles(html: Column) -> Column:
+    """Struct of heading, body and number of paragraphs of each page; nulls where there is none."""
+    names = ("heading", "body", "paragraphs")
+    return by_page(html, lambda h: dict(zip(names, article(h))), "heading string, body string, paragraphs int")
 
 
 def frontier(links: DataFrame, done: DataFrame, key: str = "url") -> DataFrame:

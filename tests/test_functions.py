@@ -303,3 +303,23 @@ def test_keys_and_references(spark, tmp_path):
         files.read_keyed(spark, str(tmp_path / "c.csv"), "id", references={"l_id": (a.limit(1), "id")})
     assert values(spark, T.first_mark(F.col("t")), [("ab-c",), ("abc",), ("'s",)], "t string") == [2, None, 0]
     assert values(spark, S.dot(F.col("a"), F.col("b")), [([1.0, 2.0], [3.0, 4.0])], "a array<double>, b array<double>") == [11.0]
+
+
+def test_pages_are_read_one_at_a_time(spark):
+    """However many pages a batch has, a tree is gone before the next is made, and no cycle keeps it."""
+    import gc
+
+    from recordloom.sources import fields
+
+    before = sum(isinstance(x, fields.Node) for x in gc.get_objects())
+    gc.disable()
+    try:
+        for _ in range(20):
+            assert fields._read("<div><p>a<b>c</b></p></div>", lambda page: {"p": fields.selected(page, "p")}) == {"p": ["ac"]}
+        assert sum(isinstance(x, fields.Node) for x in gc.get_objects()) <= before
+    finally:
+        gc.enable()
+    page = fields.tree("<p>a &amp; b &lt</p><script>x && '&amp;'</script>", raw=True)
+    assert fields.selected(page, "p") == ["a &amp; b &lt"] and page.first("script").text() == "x && '&amp;'"
+    sent = spark.range(1000).coalesce(1).select(fields.fields(F.concat(F.lit("<b>"), F.col("id").cast("string"), F.lit("</b>")), {"x": "b"})["x"][0].alias("x")).collect()
+    assert [r["x"] for r in sent] == [str(k) for k in range(1000)]
