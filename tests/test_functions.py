@@ -323,3 +323,38 @@ def test_pages_are_read_one_at_a_time(spark):
     assert fields.selected(page, "p") == ["a &amp; b &lt"] and page.first("script").text() == "x && '&amp;'"
     sent = spark.range(1000).coalesce(1).select(fields.fields(F.concat(F.lit("<b>"), F.col("id").cast("string"), F.lit("</b>")), {"x": "b"})["x"][0].alias("x")).collect()
     assert [r["x"] for r in sent] == [str(k) for k in range(1000)]
+
+
+def test_large_blocks_are_dealt_out(spark, monkeypatch):
+    """Blocks of more pairs than a task's are cut into cells: the same pairs, no task with all of a block's."""
+    monkeypatch.setattr(B, "CELL", 5)
+    monkeypatch.setattr(B, "TASK_PAIRS", 50)
+    left = spark.createDataFrame([(i, "a" if i < 60 else ["b", None, "c"][i % 3], i % 2) for i in range(80)], "id int, k string, n int")
+    right = spark.createDataFrame([(i, "a" if i < 30 else ["b", None, "d"][i % 3], i % 2) for i in range(50)], "id int, k string, n int")
+    for keys in (["k"], ["k", "n"]):
+        pairs = B.block_pairs(left, right, keys, keys, "id", "id").select("l_id", "r_id", F.spark_partition_id().alias("task")).collect()
+        wanted = [(a["id"], b["id"]) for a in left.collect() for b in right.collect() if a["k"] is not None and all(a[c] == b[c] for c in keys)]
+        assert sorted((p["l_id"], p["r_id"]) for p in pairs) == sorted(wanted)
+        assert max(sum(p["task"] == t for p in pairs) for t in {p["task"] for p in pairs}) < len(wanted) / 4
+    where = B.block_where(left, right, lambda l, r: l("id") < r("id"), ["k"]).select("l_id", "r_id").collect()  # noqa: E741
+    assert len(where) == sum(a["id"] < b["id"] for a in left.collect() for b in right.collect() if a["k"] is not None and a["k"] == b["k"])
+
+
+def test_similar_pairs_compare_values_once(spark):
+    names = ["Ann Lee", "Lee Ann", "Bo", None, "a b c d e", "a b c d"]
+    rows = [(i, "x" if i % 5 else ("y" if i % 2 else None), [names[i % 6]] if i % 6 != 3 else None, [names[(i // 6) % 6]]) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, block string, a array<string>, b array<string>")
+    slow = B.keep_similar(B.block_pairs(df, df, "block", "block", "id", "id"), ["a", "b"]).select("l_id", "r_id")
+    got = B.similar_pairs(df, df, "block", "id", "id", ["a", "b"])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, slow.collect())) and got.count() > 100
+
+
+def test_missed_pairs_of_blocks_named_by_a_column(spark):
+    """As with the pairs of the blocks spelt out, ties by the ids among them."""
+    sets = [["p", "q", "r"], ["p", "q"], ["p", "q", "s"], ["t"], [], ["q", "r", "s"]]
+    side = lambda k: spark.createDataFrame([(i, ["m", "n", "o", None][(i * k) % 4], sets[(i + k) % 6]) for i in range(40)], "id int, block string, w array<string>")
+    left, right = side(1), side(3)
+    found = B.block_pairs(left, right, "block", "block", "id", "id").select("l_id", "r_id")
+    for top in (1, 7, 60, 5000):
+        one, other = (B.missed_pairs(left, right, c, "id", "id", "w", top).orderBy(F.desc("similarity"), "l_id", "r_id").collect() for c in (found, "block"))
+        assert one == other and len(one) > 0
