@@ -358,3 +358,24 @@ def test_missed_pairs_of_blocks_named_by_a_column(spark):
     for top in (1, 7, 60, 5000):
         one, other = (B.missed_pairs(left, right, c, "id", "id", "w", top).orderBy(F.desc("similarity"), "l_id", "r_id").collect() for c in (found, "block"))
         assert one == other and len(one) > 0
+
+
+def test_smith_waterman_of_batches(spark):
+    """Together, one by one and as an expression the same, whatever the lengths."""
+    r = np.random.default_rng(1)
+    word = lambda most: "".join(r.choice(list("abcé𝒳"), r.integers(0, most)))
+    pairs = [(word(9), word(14)) for _ in range(300)] + [(word(90), word(40)) for _ in range(20)] + [("abc", "abc")] * 3
+    for weights in ((1.0, 0.0, 1.0), (2.0, -0.5, 0.25), (1.0, 0.5, 2.0)):
+        assert S.smith_waterman_scores(pairs, *weights) == [S.smith_waterman_score(a, b, *weights) for a, b in pairs]
+    rows = [*pairs[:40], ("", "a"), (None, "a"), ("a", None)]
+    df = spark.createDataFrame(rows, "a string, b string").coalesce(1)
+    assert [tuple(x) for x in df.select(S.smith_waterman_of(F.col("a"), F.col("b")), S.smith_waterman(F.col("a"), F.col("b"))).collect() if x[0] != x[1]] == []
+    assert "Python" not in df.select(S.smith_waterman(F.col("a"), F.col("b")))._jdf.queryExecution().toString()
+
+
+def test_counted_shuffles_keys_that_come_again(spark):
+    rows = [(1, ["b", "a", "b"]), (2, []), (3, ["a"]), (3, ["a", "c"]), (None, ["x"]), (None, ["x"]), (4, None)]
+    got = T.counted(spark.createDataFrame(rows, "id int, words array<string>"), "id").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [(1, "a", 1), (1, "b", 2), (3, "a", 2), (3, "c", 1), (None, "x", 2)]))
+    once = T.counted(spark.createDataFrame(rows[:3], "id int, words array<string>"), "id")
+    assert "Exchange" not in once._jdf.queryExecution().executedPlan().toString() and once.count() == 3
