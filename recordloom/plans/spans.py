@@ -102,7 +102,7 @@ def word_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {_SPANS} SELECT doc_id, n::INTEGER AS n_words, count(*) AS n, count(DISTINCT string) AS n_distinct, max(string_id)::INTEGER AS last_id FROM candidates GROUP BY 1, 2")
 def ngram_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = T.candidates(_tagged(spark, sf_dir), "doc_id")
+    found = T.candidates(_tagged(spark, sf_dir), "doc_id", features=())
     return found.groupBy("doc_id", (F.col("end_index") - F.col("start_index")).alias("n_words")).agg(F.count("*").alias("n"), F.count_distinct("string").alias("n_distinct"), F.max("string_id").alias("last_id"))
 
 
@@ -141,5 +141,5 @@ def span_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH RECURSIVE {_SPANS}, l AS {_HITS(_ALL)} SELECT doc_id, count(*) AS n, (2 * count(l.string_id))::BIGINT AS flags FROM candidates LEFT JOIN l USING (doc_id, string_id) GROUP BY doc_id")
 def gazetteer_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = T.gazetteer_words(table(spark, sf_dir, "benchmark"), "all", "text")
-    found = T.candidates(_tagged(spark, sf_dir), "doc_id").select("doc_id", "string_id", "string")
+    found = T.candidates(_tagged(spark, sf_dir), "doc_id", features=()).select("doc_id", "string_id", "string")
     return T.gazetteer_flags(found, {"listed": words}, ["doc_id", "string_id"]).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("listed").cast("bigint").alias("flags"))

@@ -379,3 +379,25 @@ def test_counted_shuffles_keys_that_come_again(spark):
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [(1, "a", 1), (1, "b", 2), (3, "a", 2), (3, "c", 1), (None, "x", 2)]))
     once = T.counted(spark.createDataFrame(rows[:3], "id int, words array<string>"), "id")
     assert "Exchange" not in once._jdf.queryExecution().executedPlan().toString() and once.count() == 3
+
+
+def test_gazetteer_flags_held_or_joined(spark, monkeypatch):
+    """The same where workers hold the words and where they are joined, and no join in the first."""
+    found = spark.createDataFrame([(1, 0, "Ann Lee"), (1, 1, "Bo"), (2, 0, "Lee Ann Bo"), (2, 1, "x"), (3, 0, None)], "doc_id int, string_id int, string string")
+    lists = {"one": ["Ann", None, "x"], "two": ["Lee", "Ann"], "none": []}
+    of = {k: spark.createDataFrame([(w,) for w in v], "word string") for k, v in lists.items()}
+    held = T.gazetteer_flags(found, of, ["doc_id", "string_id"])
+    assert "Join" not in held._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted(map(repr, held.collect()))
+    monkeypatch.setattr(T, "LISTED", 1)
+    assert got == sorted(map(repr, T.gazetteer_flags(found, of, ["doc_id", "string_id"]).select(held.columns).collect()))
+    assert [tuple(r)[3:] for r in sorted(held.collect())][:2] == [(2, 2, 0), (0, 0, 0)]
+
+
+def test_candidates_of_few_features(spark):
+    """Only what is asked for is computed: the same spans, without Python where no frequency is wanted."""
+    docs = spark.createDataFrame([(1, "Dr. Ann Lee said Bo, and Ann Lee ran."), (2, "nothing here"), (3, None), (4, "")], "doc_id int, text string")
+    whole, few = T.candidates(docs, "doc_id"), T.candidates(docs, "doc_id", features=("prefixed",))
+    assert few.columns == ["doc_id", "string_id", "string", "start_index", "end_index", "prefixed"]
+    assert sorted(few.collect()) == sorted(whole.select(few.columns).collect()) and few.count() > 3
+    assert "Python" not in few._jdf.queryExecution().executedPlan().toString()
